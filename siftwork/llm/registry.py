@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import near_dedup, substring_dedup
+from siftwork.llm import decontaminate, near_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
     }
 
 
@@ -20,4 +21,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_near_dedup": near_dedup.ORACLE,
         "op2_substring_dedup": substring_dedup.ORACLE,
+        "op7_decontaminate": decontaminate.ORACLE,
     }
