@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, near_dedup, substring_dedup
+from siftwork.llm import decontaminate, merkle, near_dedup, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op10_fingerprints": merkle.op10_fingerprints,
     }
 
 
