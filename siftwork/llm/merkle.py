@@ -72,7 +72,7 @@ def trees(texts: list[str]) -> Trees:
     paragraph_at = np.searchsorted(p_first, leaf_at)
     s_begins = np.zeros(len(p_first) + 1, bool)
     s_begins[paragraph_at] = True
-    s_begins[1:] |= paragraphs % np.uint64(2) == 0
+    s_begins[1:] |= paragraphs % np.uint64(4) == 0
     s_first = np.flatnonzero(s_begins[: len(p_first)])
     s_end = np.append(s_first[1:], len(p_first))
     sections = _SECT.spans(_SECT.prefix(paragraphs), s_first, s_end)
