@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, merkle, near_dedup, substring_dedup, warc
+from siftwork.llm import decontaminate, langid, merkle, near_dedup, substring_dedup, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_langid": langid.op3_langid,
         "op5_warc": warc.op5_warc,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op10_fingerprints": merkle.op10_fingerprints,
