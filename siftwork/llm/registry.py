@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, langid, merkle, near_dedup, quality, substring_dedup, warc
+from siftwork.llm import decontaminate, langid, merkle, near_dedup, quality, substring_dedup, suffix_lm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_langid": langid.op3_langid,
         "op5_warc": warc.op5_warc,
         "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op8_suffix_lm": suffix_lm.op8_suffix_lm,
         "op9_quality": quality.op9_quality,
         "op10_fingerprints": merkle.op10_fingerprints,
     }
