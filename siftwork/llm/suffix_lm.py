@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from siftwork.llm.blocks import Blocks, blocked, one_block, write_by_block
 from siftwork.llm.common import LOWER, SPACED, Poly, chunks, crc32_mod, forget, owners, tidy, words, written
 
-DEPTH = 4
+DEPTH = 5
 P_MIN = 2e-6
 GAIN = 30.0
 SYMBOLS = 257
@@ -145,7 +145,7 @@ def grow(grams: DataFrame) -> tuple[pd.DataFrame, int]:
     tested = child.join(parent, ["up", "suffix", "symbol"]).groupBy("depth", "context").agg(gain.alias("gain")).where(F.col("gain") >= GAIN)
     suffixes = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("depth"), F.col("context").bitwiseAND(F.lit(mask[k]).cast("long")).alias("context")) for k in range(DEPTH + 1))), lambda s: s["depth"] <= F.col("depth")))
     retained = tested.select(suffixes.alias("x")).select("x.depth", "x.context").union(sums.where("depth = 0").select("depth", "context")).distinct()
-    rows = counts.join(retained, ["depth", "context"]).select("depth", "context", "symbol", "n").toPandas()
+    rows = counts.join(retained, ["depth", "context"]).select("depth", "context", "symbol", "n").toArrow().to_pandas()
     forget(counts)
     return rows, total
 
