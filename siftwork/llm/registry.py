@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, langid, merkle, near_dedup, quality, substring_dedup, suffix_lm, warc
+from siftwork.llm import decontaminate, langid, merkle, near_dedup, pii, quality, substring_dedup, suffix_lm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_langid": langid.op3_langid,
         "op5_warc": warc.op5_warc,
+        "op6_pii": pii.op6_pii,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_suffix_lm": suffix_lm.op8_suffix_lm,
         "op9_quality": quality.op9_quality,

@@ -80,9 +80,9 @@ class _File:
     def __init__(self, f, size: int):
         self.f, self.size, self.at, self.piece = f, size, 0, b""
 
-    def piece_at(self, at: int) -> bytes:
-        """Some bytes from at on; empty at the end."""
-        if not self.at <= at < self.at + len(self.piece):
+    def piece_at(self, at: int, least: int = 1) -> bytes:
+        """Bytes from at on, at least so many; fewer only at the end of the file."""
+        if not self.at <= at <= self.at + len(self.piece) - min(least, self.size - at):
             self.f.seek(at)
             self.at, self.piece = at, self.f.read(_READ)
         return self.piece[at - self.at :]
@@ -90,11 +90,7 @@ class _File:
     def find(self, what: bytes, at: int) -> int:
         """First place of what from at on, or the size of the file."""
         while at < self.size:
-            piece = self.piece_at(at)
-            if len(piece) < len(what) and at + len(piece) < self.size:
-                self.f.seek(at)
-                self.at, self.piece = at, self.f.read(_READ)
-                piece = self.piece
+            piece = self.piece_at(at, len(what))
             if (k := piece.find(what)) >= 0:
                 return at + k
             if at + len(piece) >= self.size:
@@ -175,7 +171,7 @@ def salvage(handle, size: int) -> Iterator[Item]:
         bad = None
 
     while at < size:
-        zipped = f.piece_at(at)[:3] == _MAGIC
+        zipped = f.piece_at(at, len(_MAGIC))[:3] == _MAGIC
         try:
             if zipped:
                 data, end = _inflate(f, at)
@@ -284,7 +280,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield table(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, _OUT)
+    files = manifest.select("path").distinct()
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, _OUT)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0, broadcast_revisits: int = BROADCAST_REVISITS) -> DataFrame:
