@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftwork.llm import decontaminate, langid, merkle, near_dedup, pii, quality, substring_dedup, suffix_lm, warc
+from siftwork.llm import bpe, decontaminate, langid, merkle, near_dedup, pii, quality, substring_dedup, suffix_lm, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_langid": langid.op3_langid,
+        "op4_bpe": bpe.op4_bpe,
         "op5_warc": warc.op5_warc,
         "op6_pii": pii.op6_pii,
         "op7_decontaminate": decontaminate.op7_decontaminate,

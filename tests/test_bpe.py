@@ -1,0 +1,38 @@
+import random
+
+import __spark_entry__
+import public_tokenizers
+import regex
+
+from siftwork.llm import bpe
+
+RANKS = bpe.Encoder().ranks
+
+
+def brute(piece: bytes) -> list[int]:
+    parts = [bytes([b]) for b in piece]
+    while True:
+        found = [(RANKS[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in RANKS]
+        if not found:
+            return [RANKS[p] for p in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_tokens_of_all_documents_are_those_of_a_brute_force_encoder(spark):
+    rows = __spark_entry__.queries()["op4_bpe"](spark, "/root/testdata/sf0.001").collect()
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(texts) and all(r["round_trip"] for r in rows)
+    known: dict[str, list[int]] = {}
+    for r in rows:
+        want = [t for p in regex.findall(public_tokenizers.PATTERN, texts[r["doc_id"]]) for t in known.setdefault(p, brute(p.encode()) if p not in known else [])]
+        assert r["tokens"] == want and r["n_tokens"] == len(want)
+
+
+def test_odd_texts(spark):
+    rng = random.Random(4)
+    texts = [None, "", " ", "a  b \n\n c", "it's we'll", "\u0085　x  y", "𝒳é ß漢字カナ 12³", "=" * 300, "=" * 700, "".join(rng.choice("abcDEF019é ") for _ in range(3000)), "".join(rng.choice("abAB") for _ in range(900))]
+    rows = bpe.encoded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, text in zip(rows, texts, strict=True):
+        assert r["tokens"] == [t for p in regex.findall(public_tokenizers.PATTERN, text or "") for t in brute(p.encode())]
+        assert r["text"] == text and r["round_trip"]
