@@ -248,6 +248,20 @@ def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list[np.nda
     return [np.frombuffer(r["f"], np.float32).reshape(-1, N_FEATURES) for r in found], [np.frombuffer(r["n"], np.int64) for r in found], np.array([r["quality"] for r in found])
 
 
+def _scorer(learn_from: DataFrame, labels: DataFrame, limit: int):
+    """A function from a batch of texts (bytes, offsets) to their scores."""
+    learned = sampled(learn_from.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, limit)
+    field = fit(*learned) if len(set(learned[2].tolist())) == 2 else None
+
+    def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        if field is None:
+            return np.ones(len(offsets) - 1)
+        x = _logits(field, *line_features(data, offsets))
+        return 1 / (1 + np.exp(-np.clip(field.curve[0] * x + field.curve[1], -30, 30)))
+
+    return score
+
+
 def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
     """Per row of docs: doc_id and score, the probability from its text alone that its quality is 1.
 
@@ -256,21 +270,26 @@ def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, limit: int
     labels of one kind only, or none, every score is 1. Repeated rows get equal scores; an empty table
     gives an empty result.
     """
-    learned = sampled(learn_from.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, limit)
-    field = fit(*learned) if len(set(learned[2].tolist())) == 2 else None
+    score = _scorer(learn_from, labels, limit)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for part, data, offsets in chunks(batches):
-            if field is None:
-                s = np.ones(part.num_rows)
-            else:
-                x = _logits(field, *line_features(data, offsets))
-                s = 1 / (1 + np.exp(-np.clip(field.curve[0] * x + field.curve[1], -30, 30)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score(data, offsets))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def good(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, that scores() would give THRESHOLD or more."""
+    score = _scorer(learn_from, labels, limit)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for part, data, offsets in chunks(batches):
+            yield part.filter(pa.array(score(data, offsets) >= THRESHOLD))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     """Quality of all documents, learned from labels of four fifths of them."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")

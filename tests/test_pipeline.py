@@ -1,0 +1,22 @@
+import __spark_entry__
+import corpus_pipeline
+
+from siftwork.llm import decontaminate, near_dedup, pii
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_in_order_and_their_effect(spark):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontaminate", "pii", "bpe"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    out = __spark_entry__.queries()["pipeline"](spark, SF)
+    assert out.columns == [*docs.columns, "tokens", "n_tokens", "round_trip"]
+    out = spark.createDataFrame(out.collect(), out.schema)
+    ids = [r[0] for r in out.select("doc_id").collect()]
+    assert 0 < len(ids) < docs.count() and len(ids) == len(set(ids))
+    assert out.where("not round_trip or n_tokens = 0 and text <> ''").count() == 0
+    before = docs.join(out.select("doc_id"), "doc_id", "left_semi")
+    assert near_dedup.near_duplicates(before, shingle_words=3, percent=85).where("not kept").count() == 0
+    assert decontaminate.overlaps(before, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").count() == 0
+    assert pii.personal_data(before).where("size(base) > 0").count() > 0
+    assert pii.matches(out.select("doc_id", "text")).where("kind < 4").count() == 0
