@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A placeholder until the search exists: the ids of all documents, with no term sought."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
 
 
