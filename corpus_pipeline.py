@@ -1,7 +1,7 @@
 """The corpus pipeline: documents in, documents fit for training out, with their tokens.
 
 Each stage of STAGES takes (spark, documents, sf_dir) and gives documents with the columns it got,
-the last one with tokens, n_tokens and round_trip besides. doc_id is taken to be there and unique.
+the last one with tokens, n_tokens and round_trip (whether the tokens decode to the text) besides. doc_id is taken to be there and unique.
 There is no ORACLE_SQL: quality and personal data are learned, which SQL doesn't express.
 """
 
@@ -46,7 +46,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their tokens."""
-    return bpe.encoded(docs)
+    return bpe.encoded(docs).withColumn("round_trip", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).drop("decoded")
 
 
 STAGES = [

@@ -6,8 +6,8 @@ least rank of each piece per step until no pair of it has a rank; the result is
 encoder, one merge at a time. Pieces met before are not asked for again. A piece of over LONG bytes,
 for which as many steps would each go over all of it, is merged with a heap by the same rule.
 
-Decoding has a recursive query take every token apart into bytes; a text's bytes are then gathered
-from that table and held against the text.
+Decoding joins token-position rows with the vocabulary and gathers each text by an aggregation in the
+order of the positions. DuckDB aggregates strings, so a byte is spelled as the character of that number.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.llm.common import text_bytes
+from siftwork.llm.common import text_bytes, unused
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: (?U) has \s mean Unicode's white space, as the rank files' own splitter does.
@@ -45,11 +45,7 @@ WITH RECURSIVE s(w, toks) USING KEY (w) AS (
 SELECT toks FROM s ORDER BY w
 """
 _DECODE = """
-WITH RECURSIVE e(id, place, tok) AS (
-  SELECT id, 0, id FROM vocabulary
-  UNION ALL
-  SELECT e.id, e.place + x.shift, x.tok FROM e JOIN parts x ON x.whole = e.tok)
-SELECT b.byte FROM e JOIN bytes b USING (tok) ORDER BY e.id, e.place
+SELECT string_agg(spelled, '' ORDER BY place) AS text FROM given JOIN vocabulary USING (tok) GROUP BY row ORDER BY row
 """
 
 
@@ -65,17 +61,10 @@ class Encoder:
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
         split = [(self.ranks[t[:k]], self.ranks[t[k:]], r, k) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         self.pairs = {(a, b): r for a, b, r, _ in split}
-        one = {r: (a, b, k) for a, b, r, k in split}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB"})
         a, b, r, _ = map(np.array, zip(*split))
         self._table("pairs", pair=(a << 16) | b, rank=r.astype(np.int32))
-        self._table("vocabulary", id=np.arange(len(ids), dtype=np.int32))
-        self._table("parts", whole=[*one, *one], tok=[*(x[0] for x in one.values()), *(x[1] for x in one.values())], shift=[*(0 for _ in one), *(x[2] for x in one.values())])
-        self._table("bytes", tok=self.byte, byte=np.arange(256, dtype=np.uint8))
-        spelled = self.db.sql(_DECODE).to_arrow_table().column("byte").to_numpy().astype(np.uint8)
-        self.starts = np.zeros(len(ids) + 1, np.int32)
-        np.cumsum([len(ids[i]) for i in range(len(ids))], out=self.starts[1:])
-        self.spelled = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(self.starts.tobytes()), pa.py_buffer(spelled.tobytes())])
+        self._table("vocabulary", tok=np.arange(len(ids), dtype=np.int32), spelled=[ids[i].decode("latin-1") for i in range(len(ids))])
         self._forget()
 
     def _table(self, name: str, **columns) -> None:
@@ -128,20 +117,28 @@ class Encoder:
             self.tokens = pa.concat_arrays([self.tokens, *(t for _, t in parts)])
         return self.tokens.take(pc.index_in(pieces, value_set=self.known))
 
-    def decode(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bytes of the tokens, and where each token's begin, with the end of all."""
-        return text_bytes(self.spelled.take(pa.array(tokens)))
+    def decode(self, tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Bytes of each text, whose tokens are those between two bounds."""
+        n = np.diff(bounds)
+        out = [b""] * len(n)
+        given = pa.table({"row": np.repeat(np.arange(len(n), dtype=np.int32), n), "place": np.arange(len(tokens)), "tok": tokens})
+        self.db.register("given", given)
+        for i, x in zip(np.flatnonzero(n), self.db.sql(_DECODE).to_arrow_table().column("text")):
+            out[i] = x.as_py().encode("latin-1")
+        self.db.unregister("given")
+        return out
 
 
 _encoder: Encoder | None = None
 
 
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], pieces: str) -> Iterator[pa.RecordBatch]:
+    """The batches, with tokens, their number and what they decode to in place of the column pieces, the last one."""
     global _encoder
     if _encoder is None:
         _encoder = Encoder()
     for batch in batches:
-        at, bounds = 0, np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column("pieces")).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        at, bounds = 0, np.concatenate(([0], np.cumsum(pc.list_value_length(batch.column(pieces)).to_numpy(zero_copy_only=False)))).astype(np.int64)
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + AT_ONCE, "right")) - 1)
             yield _rows(_encoder, batch.slice(at, to - at), bounds[at : to + 1] - bounds[at])
@@ -149,36 +146,31 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rows(encoder: Encoder, part: pa.RecordBatch, bounds: np.ndarray) -> pa.RecordBatch:
-    pieces = part.column("pieces").flatten().dictionary_encode()
+    pieces = part.column(part.num_columns - 1).flatten().dictionary_encode()
     lists = encoder.encode(pieces.dictionary).take(pieces.indices)
     place = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))).astype(np.int64)[bounds]
     tokens = lists.flatten()
-    got, starts = encoder.decode(tokens.to_numpy())
-    data, offsets = text_bytes(part.column("text"))
-    again = starts[place]
-    same = np.diff(again) == np.diff(offsets)
-    if np.array_equal(again, offsets):
-        wrong = np.concatenate(([0], np.cumsum(got != data)))
-        same &= wrong[offsets[1:]] == wrong[offsets[:-1]]
-    else:
-        same &= np.array([np.array_equal(got[a:b], data[c:d]) for a, b, c, d in zip(again, again[1:], offsets, offsets[1:])], bool)
     lists = pa.ListArray.from_arrays(pa.array(place.astype(np.int32)), tokens)
-    kept = [c for c in part.schema.names if c != "pieces"]
-    return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists, pa.array(np.diff(place)), pa.array(same)], [*kept, "tokens", "n_tokens", "round_trip"])
+    decoded = encoder.decode(tokens.to_numpy(), place)
+    return pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(np.diff(place)), pa.array(decoded, pa.binary())], [*part.schema.names[:-1], "tokens", "n_tokens", "decoded"])
 
 
 def encoded(docs: DataFrame) -> DataFrame:
-    """docs with tokens (ids of VOCABULARY), n_tokens and round_trip (whether they decode to the text).
+    """docs with tokens (ids of VOCABULARY), n_tokens and decoded (the bytes that the ids stand for).
 
-    Null and empty texts have no tokens. Other columns are kept as they are.
+    Null and empty texts have no tokens and decode to no bytes. Repeated rows get equal results; an empty
+    table gives an empty result. Other columns are kept as they are, but for those named tokens, n_tokens
+    or decoded, which are replaced.
     """
-    docs = docs.withColumn("text", F.col("text").cast("string"))
+    docs = docs.drop("tokens", "n_tokens", "decoded").withColumn("text", F.col("text").cast("string"))
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))
-    schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-    return docs.withColumn("pieces", pieces).mapInArrow(_encode, schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())])
+    name = unused("pieces", docs)
+    return docs.withColumn(name, pieces).mapInArrow(lambda it: _encode(it, name), schema)
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
-    """All documents as tokens, decoded again."""
+    """All documents as tokens, and decoded again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return encoded(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", "tokens", "round_trip")
+    ids = F.array_join(F.col("tokens").cast("array<string>"), ",")
+    return encoded(docs).select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

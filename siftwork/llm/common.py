@@ -62,6 +62,14 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """name, or a longer one that no column of the frames has (upper and lower case count as equal)."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64, element by element."""
     with np.errstate(over="ignore"):
