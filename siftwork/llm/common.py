@@ -7,6 +7,7 @@ its bytes however many rows it has.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -14,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -45,13 +47,13 @@ def written(df: DataFrame, what: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table of written() that nothing reads any more."""
-    path = getattr(df, "_siftwork_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def forget(*tables: DataFrame | str) -> None:
+    """Deletes tables of written(), or folders of the shared folder, that nothing reads any more."""
+    for t in tables:
+        path = t if isinstance(t, str) else getattr(t, "_siftwork_path", None)
+        if path:
+            fs, name = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+            fs.delete_dir(name)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -59,7 +61,9 @@ def tidy(spark: SparkSession) -> None:
     import gc
 
     gc.collect()
-    spark._jvm.System.gc()
+    jvm = getattr(spark, "_jvm", None)  # there is none in a remote session
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def unused(name: str, *frames: DataFrame) -> str:
@@ -78,52 +82,56 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, U64)
-    if n:
-        out[0] = 1
-        if n > 1:
-            out[1:] = U64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of spans of data that follow each other: a number by content, and the contents by number."""
+    spans = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    found = spans.dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary
+
+
+def digests(data: np.ndarray, offsets: np.ndarray, kind: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+    """128-bit digests of spans of data that follow each other, in two halves; other kinds give other digests.
+
+    Contents are told apart exactly first, so each is digested once however often it occurs.
+    """
+    code, contents = coded(data, offsets)
+    each = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16, person=kind).digest() for x in contents.to_pylist()), U64).reshape(-1, 2)
+    return each[code, 0], each[code, 1]
+
+
+def packed(data: np.ndarray, start: np.ndarray, end: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words that words() found by the same flags, one right after the other, and their offsets."""
+    offsets = np.zeros(len(start) + 1, np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    return (data[kept[data]] if len(data) else data), offsets
 
 
-class Poly:
-    """Hashes of many spans of one array: sums of value * base**place, mod 2**64, shifted to place 0."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.base = int(rng.integers(1 << 60, dtype=np.int64)) * 8 + 5
-        self.inverse = pow(self.base, -1, 1 << 64)
-        self.bytes = rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
-        self.up = self.down = np.empty(0, U64)
-
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, CHUNK + 64)
-            self.up, self.down = _powers(self.base, n), _powers(self.inverse, n)
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        """Prefix sums of the weighted values, with a leading 0."""
-        self._grow(len(values) + 1)
-        out = np.zeros(len(values) + 1, U64)
-        np.cumsum(values * self.up[: len(values)], out=out[1:])
-        return out
-
-    def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Mixed hash of each [start, end); spans with equal contents have equal hashes."""
-        return mix((prefix[end] - prefix[start]) * self.down[start] + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
-
-    def of_bytes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return self.spans(self.prefix(self.bytes[data]), start, end)
-
-    def windows(self, values: np.ndarray, width: int) -> np.ndarray:
-        """Hash of each run of width values; one result for each start that has room."""
-        n = len(values) - width + 1
-        if n <= 0:
-            return np.empty(0, U64)
-        p = self.prefix(values)
-        return mix((p[width:] - p[:n]) * self.down[:n])
+def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of what a stands for followed by what b stands for."""
+    with np.errstate(over="ignore"):
+        return mix(a * U64(0xD6E8FEB86659FD93) + b)
+
+
+def windows(h: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """Hash of each run of width values, one for each start that has room.
+
+    Runs of 1, 2, 4 ... values are joined pairwise, so a run costs a number of steps that grows as the
+    logarithm of its width; no step is linear, so no sequence of words is known to collide.
+    """
+    n = len(h)
+    if n < width:
+        return np.empty(0, U64)
+    with np.errstate(over="ignore"):
+        part = mix(h + U64(seed) * U64(0x9E3779B97F4A7C15))
+    size, out, done = 1, None, 0
+    while True:
+        if width & size:
+            out = part if out is None else joined_hash(out[: n - done - size + 1], part[done:])
+            done += size
+        if done == width:
+            return out
+        part = joined_hash(part[:-size], part[size:])
+        size *= 2
 
 
 def keeps(*gaps: tuple[int, int]) -> np.ndarray:

@@ -5,8 +5,8 @@ windows have equal least hashes, so a text that holds an item's window always me
 the selected fingerprints; only there are whole windows compared, by 128-bit hashes.
 
 Item windows go to all tasks only while their counted number stays within a bound. Beyond it,
-fingerprints of text blocks and items meet in one exchange, and each block opens the windows of the
-items that it met.
+fingerprints of text blocks and items meet in one exchange, and each block opens the windows whose
+fingerprint it has.
 """
 
 from __future__ import annotations
@@ -18,20 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.blocks import blocked, one_block, read_block, write_by_block
-from siftwork.llm.common import ALNUM, LOWER, Poly, chunks, owners, tidy, words
+from siftwork.llm.blocks import blocked, count_blocks, one_block, write_by_block
+from siftwork.llm.common import ALNUM, LOWER, chunks, digests, owners, packed, tidy, windows, words
 
 WINDOW = 10
 GRAM = 5
 #: Item windows that may be sent to every task (about 40 bytes each).
 BROADCAST_WINDOWS = 500_000
-_W1, _W2, _G, _H1, _H2 = Poly(31), Poly(32), Poly(33), Poly(34), Poly(35)
+_GRAM_SEED, _SEED1, _SEED2 = 33, 34, 35
 I64 = np.int64
 
 
 def _least(h: np.ndarray, n: int) -> np.ndarray:
     """For each run of n words the least hash of its grams of min(GRAM, n) words (as signed numbers)."""
-    g = _G.windows(h, min(GRAM, n)).view(I64)
+    g = windows(h, min(GRAM, n), _GRAM_SEED).view(I64)
     out = g[: max(len(h) - n + 1, 0)].copy()
     for i in range(1, n - min(GRAM, n) + 1):
         np.minimum(out, g[i : i + len(out)], out=out)
@@ -39,24 +39,24 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _spelled(data, offsets):
+    """Bounds of each text's words, each word's text, and both halves of the words' digests."""
     data = LOWER[data]
     start, end, bounds = words(data, offsets, ALNUM)
-    return data, start, end, bounds, owners(bounds), _W1.of_bytes(data, start, end)
+    return bounds, owners(bounds), *digests(*packed(data, start, end, ALNUM))
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each item (item_id, n, key, h1, h2) per window."""
     for part, data, offsets in chunks(batches):
-        data, start, end, bounds, own, h = _spelled(data, offsets)
-        g = _W2.of_bytes(data, start, end)
+        bounds, own, h, g = _spelled(data, offsets)
         count = np.diff(bounds)
-        place = np.arange(len(start)) - bounds[:-1][own]
+        place = np.arange(len(h)) - bounds[:-1][own]
         for n in range(1, WINDOW + 1):
             room = count[own] - place
             at = np.flatnonzero((count[own] == n) & (place == 0) if n < WINDOW else room >= n)
             if len(at):
                 ids = part.column(0).take(pa.array(own[at]))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(at), n, np.int32)), pa.array(_least(h, n)[at]), pa.array(_H1.windows(h, n)[at].view(I64)), pa.array(_H2.windows(g, n)[at].view(I64))], ["item_id", "n", "key", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.full(len(at), n, np.int32)), pa.array(_least(h, n)[at]), pa.array(windows(h, n, _SEED1)[at].view(I64)), pa.array(windows(g, n, _SEED2)[at].view(I64))], ["item_id", "n", "key", "h1", "h2"])
 
 
 class _Items:
@@ -77,12 +77,11 @@ class _Items:
 
 
 def _scan(part: pa.RecordBatch, data, offsets, items: _Items) -> pa.RecordBatch:
-    data, start, end, bounds, own, h = _spelled(data, offsets)
+    bounds, own, h, g = _spelled(data, offsets)
     n_words = np.diff(bounds)
-    cover = np.zeros(len(start) + 1, I64)
-    place = np.arange(len(start)) - bounds[:-1][own]
+    cover = np.zeros(len(h) + 1, I64)
+    place = np.arange(len(h)) - bounds[:-1][own]
     met: list[np.ndarray] = []
-    g = None
     for n, (keys, k1, k2, item) in items.by_n.items():
         least = _least(h, n)
         if not len(least):
@@ -94,9 +93,7 @@ def _scan(part: pa.RecordBatch, data, offsets, items: _Items) -> pa.RecordBatch:
         pick = pick[place[pick] + n <= n_words[own[pick]]]
         if not len(pick):
             continue
-        if g is None:
-            g = _W2.of_bytes(data, start, end)
-        h1, h2 = _H1.windows(h, n).view(I64)[pick], _H2.windows(g, n).view(I64)[pick]
+        h1, h2 = windows(h, n, _SEED1).view(I64)[pick], windows(g, n, _SEED2).view(I64)[pick]
         at = np.searchsorted(k1, h1)
         hit = np.zeros(len(pick), bool)
         while True:  # rows of equal windows stand together, one for each item that has it
@@ -149,13 +146,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BRO
     def fingerprints(batches):
         for block, batch in one_block(batches):
             for _, data, offsets in chunks([batch]):
-                *_, h = _spelled(data, offsets)
+                *_, h, _ = _spelled(data, offsets)
                 for n in lengths:
                     key = np.unique(_least(h, n))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int32)), pa.array(np.full(len(key), n, np.int32)), pa.array(key)], ["block", "n", "key"])
 
-    near = texts.mapInArrow(fingerprints, "block int, n int, key long").distinct().join(windows.select("item_id", "n", "key").distinct(), ["n", "key"]).select("block", "item_id").distinct()
-    path = write_by_block(near.join(windows, "item_id").select("block", "item_id", "n", "key", "h1", "h2"), "windows", "h1")
+    near = texts.mapInArrow(fingerprints, "block int, n int, key long").distinct()
+    met = write_by_block(near.join(windows, ["n", "key"]).select("block", "item_id", "n", "key", "h1", "h2"), "windows", count_blocks(texts), "h1")
     tidy(docs.sparkSession)
     empty = pa.schema([("item_id", pa.string()), ("n", pa.int32()), ("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]).empty_table()
 
@@ -163,7 +160,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BRO
         now, items = None, None
         for block, batch in one_block(batches):
             if block != now:
-                now, items = block, _Items(read_block(path, block) or empty)
+                now, items = block, _Items(met.read(block) or empty)
             for part, data, offsets in chunks([batch]):
                 yield _scan(part, data, offsets, items)
 

@@ -6,7 +6,8 @@ Landmark texts give a Nyström map, and kernel ridge regression fits one output
 against the rest. The kernel is linear in the normalised presence vector, so the landmarks, the
 map and the weights fold into one matrix, and a batch is scored by one matrix product.
 
-The fit uses a bounded sample: at most SAMPLE documents of each language, picked by a hash.
+The fit uses a bounded sample: at most SAMPLE documents of each language and ROWS in all, picked by a
+hash of the text. With more than ROWS languages those with the most documents are learned.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from siftwork.llm.common import LOWER, chunks, crc32_mod
 
 #: Labelled documents of each language in the fit, and how many of them are landmarks.
 SAMPLE, LANDMARKS = 500, 64
+#: Documents in the fit, and landmarks, of all languages together.
+ROWS, MARKS = 16_000, 1024
 RIDGE, SHARPNESS = 1e-4, 8.0
-MAX_LANGUAGES = 1000
 BINS = (256, 4096, 8192)
 DIM = sum(BINS)
 _ROWS = 256
@@ -58,48 +60,53 @@ def _small(batches: Iterator[pa.RecordBatch]):
             yield part.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
 
 
-def fit(x: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, weights by bin and language, offsets) from presence rows and their languages."""
+def _normed(bits: np.ndarray) -> np.ndarray:
+    """Presence rows from packed ones, divided by the roots of their sums."""
+    x = np.unpackbits(bits, axis=1)[:, :DIM].astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
+def fit(bits: np.ndarray, lang: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(languages, weights by bin and language, offsets) from packed presence rows and their languages."""
     names = sorted(set(lang))
-    y = np.array([names.index(v) for v in lang])
-    mark = np.concatenate([np.flatnonzero(y == k)[:landmarks] for k in range(len(names))])
-    x = x.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = x[mark]
+    rank = {name: k for k, name in enumerate(names)}
+    y = np.array([rank[v] for v in lang])
+    each = max(1, min(landmarks, MARKS // len(names)))
+    mark = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(names))])
+    marks = _normed(bits[mark[:: -(-len(mark) // MARKS)]])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
-    phi = (x @ marks.T).astype(np.float64) @ root
-    target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
+    phi = np.concatenate([(_normed(bits[i : i + _ROWS]) @ marks.T).astype(np.float64) @ root for i in range(0, len(bits), _ROWS)])
     weight = 1.0 / np.bincount(y)[y]  # languages count alike
-    mean, offset = weight @ phi / weight.sum(), weight @ target / weight.sum()
+    mean, offset = weight @ phi / weight.sum(), np.bincount(y, 2 * weight, len(names)) / weight.sum() - 1
     a = (phi - mean) * weight[:, None]
-    w = np.linalg.solve(a.T @ (phi - mean) + ridge * weight.sum() * np.eye(phi.shape[1]), a.T @ (target - offset))
+    right = np.stack([2 * a[y == k].sum(0) - a.sum(0) - offset[k] * a.sum(0) for k in range(len(names))], axis=1)
+    w = np.linalg.solve(a.T @ (phi - mean) + ridge * weight.sum() * np.eye(phi.shape[1]), right)
     return names, (marks.T.astype(np.float64) @ (root @ w)).astype(np.float32), (offset - mean @ w).astype(np.float32)
 
 
 def sample(docs: DataFrame, per_language: int) -> tuple[np.ndarray, list[str]]:
-    """Presence rows and languages of at most per_language rows of each lang, as a hash picks them.
+    """Packed presence rows and languages of at most per_language rows of each lang, as a hash picks them.
 
     Rows are counted by language first, so the hash lets through about twice as many as are kept.
     """
-    known = docs.where("text is not null and lang is not null").withColumn("h", F.xxhash64("doc_id", "text"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+    known = docs.where("text is not null and lang is not null").withColumn("h", F.xxhash64("text"))
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(ROWS).collect()}
     if not counts:
-        return np.empty((0, DIM), np.uint8), []
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, 2 * per_language / n + 20 / n)) for k, n in counts.items()], "lang string, share double")
+        return np.empty((0, -(-DIM // 8)), np.uint8), []
+    each = max(1, min(per_language, ROWS // len(counts)))
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, 2 * each / n + 20 / n)) for k, n in counts.items()], "lang string, share double")
     some = known.join(F.broadcast(share), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
-    some = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= per_language).select("lang", "rank", "text")
+    some = some.dropDuplicates(["lang", "text"]).withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).where(F.col("rank") <= each).select("lang", "rank", "text")
 
     def packed(batches):
         for part, data, offsets in _small(batches):
             rows = np.packbits(presence(data, offsets), axis=1)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in rows], pa.binary())], ["lang", "rank", "bits"])
 
-    rows = sorted(some.mapInArrow(packed, "lang string, rank int, bits binary").collect())  # at most per_language a language
-    return np.unpackbits(np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), axis=1)[:, :DIM], [r["lang"] for r in rows]
+    rows = sorted(some.mapInArrow(packed, "lang string, rank int, bits binary").collect())  # at most ROWS rows of DIM / 8 bytes
+    return np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8).reshape(len(rows), -1), [r["lang"] for r in rows]
 
 
 def identify(docs: DataFrame, learn_from: DataFrame, per_language: int = SAMPLE) -> DataFrame:
@@ -107,11 +114,11 @@ def identify(docs: DataFrame, learn_from: DataFrame, per_language: int = SAMPLE)
 
     learn_from has doc_id, text and lang; rows with a null text or lang teach nothing. lang_pred is a
     learned value of lang, or `und` (score 0) where text is null or has no letter, or nothing could be
-    learned. Ties go to the language that sorts first. Repeated rows get equal results; an empty table
-    gives an empty result.
+    learned. Ties go to the language that sorts first. Equal texts get equal results; an empty table gives
+    an empty result. Other columns play no part.
     """
-    x, lang = sample(learn_from.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string")))), per_language)
-    names, weights, offset = fit(x, lang) if lang else ([], np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32))
+    bits, lang = sample(learn_from.select(*(F.col(c).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("lang", "string")))), per_language)
+    names, weights, offset = fit(bits, lang) if lang else ([], np.zeros((DIM, 1), np.float32), np.zeros(1, np.float32))
 
     def run(batches):
         for part, data, offsets in _small(batches):

@@ -1,54 +1,71 @@
 """Document fingerprints: Merkle trees over phrases, paragraphs and sections.
 
-Leaves are phrases: runs of words that end after a word whose hash is even, or with the
+Leaves are phrases: runs of words that end after a word whose digest is a multiple of 3, or with the
 line. Phrases make paragraphs (lines), paragraphs make sections (a section ends after a paragraph
-whose hash is a multiple of 4), sections make the root. All cuts follow from the content near them,
-so an edit changes the branches above it and leaves the others as they were. Every node's hash is
-one of its children's hashes in order; roots have 128 bits, inner nodes 64.
-
-A fingerprint is text: the root, then for each section its hash and number of paragraphs, for each
-paragraph its hash and number of phrases, and each phrase's hash (32 bits each, in hex).
+whose digest is a multiple of 4), sections make the root. All cuts follow from the content near them,
+so an edit changes the branches above it and leaves the others as they were. A node's hash is a
+128-bit BLAKE2b digest of its text (leaves) or of its children's digests in order.
+
+A fingerprint is text: the root, then for each level below it the least node hashes (40 bits each, in
+hex), at most KEPT of a level, so its length has a bound however long the text is. Equal roots are
+equal texts. Otherwise the likeness is that of the levels' node sets, which the kept hashes tell
+exactly for small trees and as a sample for others. Whole trees, needed to find where two texts
+differ, are made from the texts: edits() goes down from both roots into differing branches only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import CHUNK, SPACED, Poly, owners, text_bytes, words
+from siftwork.llm.common import CHUNK, SPACED, digests, owners, packed, text_bytes, words
 
-_WORD, _LEAF, _PARA, _SECT, _ROOT1, _ROOT2 = (Poly(s) for s in range(41, 47))
-_LOW = np.uint64(0xFFFFFFFF)
+#: Node hashes that a fingerprint keeps of sections, paragraphs and phrases.
+KEPT = (8, 16, 64)
+_HEX = 10
 
 
 @dataclass
 class Trees:
-    """The trees of many texts: hashes of all nodes, level by level, and where each text's begin."""
+    """The trees of many texts.
+
+    levels has, for sections, paragraphs and phrases, all nodes' digests (two halves) and where each
+    text's begin; within has where each section's paragraphs and each paragraph's phrases begin; starts
+    has the first byte of each phrase.
+    """
 
     root: list[str]
-    sections: np.ndarray
-    section_at: np.ndarray
-    paragraphs: np.ndarray
-    paragraph_at: np.ndarray
-    leaves: np.ndarray
-    leaf_at: np.ndarray
-    in_section: np.ndarray
-    in_paragraph: np.ndarray
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    within: list[np.ndarray]
+    starts: np.ndarray
 
     def text(self) -> list[str]:
-        def hexed(a: np.ndarray) -> str:
-            return a.astype(">u4").tobytes().hex()
-
-        s = hexed(np.stack(((self.sections & _LOW), self.in_section.astype(np.uint64)), axis=1))
-        p = hexed(np.stack(((self.paragraphs & _LOW), self.in_paragraph.astype(np.uint64)), axis=1))
-        x = hexed(self.leaves & _LOW)
-        a, b, c = self.section_at * 16, self.paragraph_at * 16, self.leaf_at * 8
-        return [f"{r}:{s[a[i] : a[i + 1]]}:{p[b[i] : b[i + 1]]}:{x[c[i] : c[i + 1]]}" for i, r in enumerate(self.root)]
+        """The fingerprints."""
+        kept = [_least(*level, n) for level, n in zip(self.levels, KEPT)]
+        return [":".join((r, *(k[i] for k in kept))) for i, r in enumerate(self.root)]
+
+
+def _least(h: np.ndarray, _: np.ndarray, at: np.ndarray, n: int) -> list[str]:
+    """Of each text the n least distinct hashes of a level, ascending, in hex."""
+    key = h >> np.uint64(24)
+    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    order = np.lexsort((key, own))
+    key, own = key[order], own[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    key, own = key[fresh], own[fresh]
+    first = np.searchsorted(own, np.arange(len(at)))
+    few = np.arange(len(key)) - first[own] < n
+    key, own = key[few], own[few]
+    raw = key.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex()
+    to = np.searchsorted(own, np.arange(len(at))) * _HEX
+    return [raw[a:b] for a, b in zip(to, to[1:])]
 
 
 def trees(texts: list[str]) -> Trees:
@@ -59,84 +76,119 @@ def trees(texts: list[str]) -> Trees:
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
     begins[np.flatnonzero(data == 10) + 1] = True
-    ends_phrase = _WORD.of_bytes(data, start, end) % np.uint64(2) == 0
-    after = np.flatnonzero(ends_phrase[:-1] & (own[1:] == own[:-1])) + 1
+    h, _ = digests(*packed(data, start, end, SPACED))
+    after = np.flatnonzero((h[:-1] % np.uint64(3) == 0) & (own[1:] == own[:-1])) + 1
     cut[start[after]] = True
     cut |= begins
     first = np.flatnonzero(cut[: len(data)])
-    leaves = _LEAF.of_bytes(data, first, np.append(first[1:], len(data)))
+    leaf = digests(data, np.append(first, len(data)), b"phrase")
     leaf_at = np.searchsorted(first, offsets)
-    p_first = np.flatnonzero(begins[first])
-    p_end = np.append(p_first[1:], len(first))
-    paragraphs = _PARA.spans(_PARA.prefix(leaves), p_first, p_end)
-    paragraph_at = np.searchsorted(p_first, leaf_at)
-    s_begins = np.zeros(len(p_first) + 1, bool)
-    s_begins[paragraph_at] = True
-    s_begins[1:] |= paragraphs % np.uint64(4) == 0
-    s_first = np.flatnonzero(s_begins[: len(p_first)])
-    s_end = np.append(s_first[1:], len(p_first))
-    sections = _SECT.spans(_SECT.prefix(paragraphs), s_first, s_end)
-    section_at = np.searchsorted(s_first, paragraph_at)
-    roots = [f(sections) for f in (lambda x: _ROOT1.spans(_ROOT1.prefix(x), section_at[:-1], section_at[1:]), lambda x: _ROOT2.spans(_ROOT2.prefix(x), section_at[:-1], section_at[1:]))]
-    root = np.stack(roots, axis=1).astype(">u8").tobytes().hex()
-    return Trees([root[32 * i : 32 * i + 32] for i in range(len(texts))], sections, section_at, paragraphs, paragraph_at, leaves, leaf_at, s_end - s_first, p_end - p_first)
-
-
-def likeness(a: Trees, i: np.ndarray, b: Trees, j: np.ndarray) -> np.ndarray:
-    """For trees i of a and j of b the phrases that both have, as a share of all (Dice, 0 to 1).
-
-    1 exactly where the roots are equal; it uses only what fingerprints hold.
-    """
-
-    def keyed(t: Trees, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        n = t.leaf_at[k + 1] - t.leaf_at[k]
-        to = np.concatenate(([0], np.cumsum(n)))
-        at = np.arange(to[-1]) + np.repeat(t.leaf_at[k] - to[:-1], n)
-        key, count = np.unique((np.repeat(np.arange(len(k)), n).astype(np.uint64) << np.uint64(32)) | (t.leaves[at] & _LOW), return_counts=True)
-        return key, count, n
 
-    (ka, ca, na), (kb, cb, nb) = keyed(a, i), keyed(b, j)
-    both, x, y = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    shared = np.bincount((both >> np.uint64(32)).astype(np.int64), np.minimum(ca[x], cb[y]), minlength=len(i))
-    total = na + nb
-    out = 2 * shared / np.maximum(total, 1)
-    equal = np.array([a.root[p] == b.root[q] for p, q in zip(i, j)], bool)
-    return np.where(equal, 1.0, np.minimum(out, total / (total + 1)))
+    def above(nodes: tuple[np.ndarray, np.ndarray], at: np.ndarray, name: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return digests(np.stack(nodes, axis=1).view(np.uint8).ravel(), 16 * at, name)
+
+    p_at = np.append(np.flatnonzero(begins[first]), len(first))
+    para = above(leaf, p_at, b"paragraph")
+    para_at = np.searchsorted(p_at[:-1], leaf_at)
+    s_begins = np.zeros(len(p_at), bool)
+    s_begins[para_at] = True
+    s_begins[1:] |= para[0] % np.uint64(4) == 0
+    s_at = np.append(np.flatnonzero(s_begins[:-1]), len(p_at) - 1)
+    sect = above(para, s_at, b"section")
+    sect_at = np.searchsorted(s_at[:-1], para_at)
+    root = np.stack(above(sect, sect_at, b"root"), axis=1).tobytes().hex()
+    levels = [(*sect, sect_at), (*para, para_at), (*leaf, leaf_at)]
+    return Trees([root[32 * i : 32 * i + 32] for i in range(len(texts))], levels, [s_at, p_at], np.append(first, len(data)))
+
+
+def _shared(a: str, b: str, n: int) -> float:
+    """The share of two sets that is in both (Dice), from the n least members of each."""
+    x, y = ({s[k : k + _HEX] for k in range(0, len(s), _HEX)} for s in (a, b))
+    union = x | y
+    if len(x) >= n or len(y) >= n:  # what lies beyond a full list's end is not known
+        union = set(sorted(union)[:n])
+    j = len(union & x & y) / max(len(union), 1)
+    return 2 * j / (1 + j)
 
 
 def compare(a: str, b: str) -> float:
-    """likeness() of two fingerprints as text."""
-    from collections import Counter
+    """Likeness of two fingerprints, 0 to 1; 1 exactly where the roots are equal.
 
-    if a.split(":")[0] == b.split(":")[0]:
+    The mean of the levels' likeness. A level at which neither text has a second node says no more than
+    the roots and does not count; the phrases always do.
+    """
+    x, y = a.split(":"), b.split(":")
+    if x[0] == y[0]:
         return 1.0
-    x, y = (Counter(s[k : k + 8] for k in range(0, len(s), 8)) for s in (a.split(":")[3], b.split(":")[3]))
-    total = sum(x.values()) + sum(y.values())
-    return min(2 * sum((x & y).values()) / max(total, 1), total / (total + 1))
+    each = [_shared(p, q, n) for p, q, n in zip(x[1:], y[1:], KEPT) if n == KEPT[-1] or max(len(p), len(q)) > _HEX]
+    return min(sum(each) / len(each), 0.999)
 
 
-def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """Where b's tree has what a's lacks: (section, paragraph within it), found from the root down.
+def edits(before: str, after: str) -> list[tuple[int, int, int, int]]:
+    """Where two texts differ: (start, end) in before, (start, end) in after, code points, in order.
 
-    Equal roots give nothing; sections that a has too are not entered.
+    Phrases are the finest unit. An insertion has start = end in before, a deletion in after; a moved
+    paragraph is one of each. Equal texts give nothing.
     """
-    if a.split(":")[0] == b.split(":")[0]:
+    t = trees([before, after])
+    if t.root[0] == t.root[1]:
         return []
+    names = [list(zip(a.tolist(), b.tolist())) for a, b, _ in t.levels]
+    out: list[tuple[int, int, int, int]] = []
+
+    def descend(level: int, a: int, b: int, c: int, d: int) -> None:
+        """Nodes [a, b) of before and [c, d) of after, at a level."""
+        while a < b and c < d and names[level][a] == names[level][c]:
+            a, c = a + 1, c + 1
+        while a < b and c < d and names[level][b - 1] == names[level][d - 1]:
+            b, d = b - 1, d - 1
+        if a == b and c == d:
+            return
+        if a == b or c == d:
+            down = [a, b, c, d]
+            for k in range(level, 2):
+                down = [int(t.within[k][x]) for x in down]
+            out.append(tuple(int(t.starts[x]) for x in down))
+            return
+        for tag, i, j, k, m in SequenceMatcher(None, names[level][a:b], names[level][c:d], autojunk=False).get_opcodes():
+            if tag == "equal":
+                continue
+            if level == 2:
+                out.append(tuple(int(t.starts[x]) for x in (a + i, a + j, c + k, c + m)))
+            else:
+                descend(level + 1, *(int(t.within[level][x]) for x in (a + i, a + j, c + k, c + m)))
+
+    at = t.levels[0][2]
+    descend(0, int(at[0]), int(at[1]), int(at[1]), int(at[2]))
+    data, offsets = text_bytes(pa.array([before, after], pa.large_string()))
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    shift = int(points[offsets[1]])
+    return [(*(int(points[x]) for x in span[:2]), *(int(points[x]) - shift for x in span[2:])) for span in out]
+
+
+def locate_edits(pairs: DataFrame) -> DataFrame:
+    """Per row of pairs (id, before, after) and differing place: id, start, end, new_start, new_end.
+
+    Places are those of edits(). Null texts are empty. Rows with equal texts give no row, repeated rows
+    give theirs each; an empty table gives an empty result.
+    """
 
-    def level(s: str) -> list[tuple[str, int]]:
-        return [(s[k : k + 8], int(s[k + 8 : k + 16], 16)) for k in range(0, len(s), 16)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, a, b in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                found = edits(a or "", b or "")
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int64()), *(pa.array(x, pa.int64()) for x in zip(*found))], ["id", "start", "end", "new_start", "new_end"])
 
-    a_sections, a_paragraphs = ({h for h, _ in level(a.split(":")[k])} for k in (1, 2))
-    found, at, paragraphs = [], 0, level(b.split(":")[2])
-    for s, (h, n) in enumerate(level(b.split(":")[1])):
-        if h not in a_sections:
-            found += [(s, p) for p in range(n) if paragraphs[at + p][0] not in a_paragraphs]
-        at += n
-    return found
+    return pairs.select(F.col("id").cast("long").alias("id"), F.col("before").cast("string").alias("before"), F.col("after").cast("string").alias("after")).mapInArrow(run, "id long, start long, end long, new_start long, new_end long")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and the fingerprint of its text (null: as the empty text), row by row."""
+    """docs' doc_id and the fingerprint of its text (null: as the empty text), row by row.
+
+    Equal texts, repeated rows among them, have equal fingerprints. Other columns of docs play no part. An
+    empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,24 +206,22 @@ def _pairs(ids: list, texts: list[str]) -> pa.RecordBatch:
     """Results for all but the last text; each one's next is the text after it."""
     n = len(ids)
     edited = [t[: len(t) - len(t) // 2] + nxt[: len(t) // 2] for t, nxt in zip(texts, texts[1:])]
-    own, other = trees(texts), trees(edited)
-    k = np.arange(n)
+    own, other = trees(texts).text(), trees(edited).text()
+    near = [[compare(a, b) for a, b in zip(own, x)] for x in (other, own[1:])]
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array(edited, pa.string()), pa.array(own.text()[:n], pa.string()), pa.array(other.text(), pa.string()), pa.array(likeness(own, k, other, k)), pa.array(likeness(own, k, own, k + 1))],
+        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:n]], pa.int64()), pa.array(edited, pa.string()), pa.array(own[:n], pa.string()), pa.array(other, pa.string()), *(pa.array(x, pa.float64()) for x in near)],
         ["doc_id", "n_chars", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     )
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, guest, doc_id, text) sorted so; a part's first guest is the text after its last row."""
+    """Rows (guest, doc_id, text) of one range, sorted so; the first guest is the text after the range's last row."""
     ids: list = []
     texts: list[str] = []
-    size, part, closed = 0, None, False
+    size, closed = 0, False
     for batch in batches:
-        for p, guest, doc, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for guest, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
             text = text or ""
-            if p != part:
-                part, closed = p, False
             if doc is None:
                 yield _pairs([None], [text, text])
             elif not guest:
@@ -187,29 +237,37 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, texts, size = [], [], 0
 
 
+def _range(value: Column, cuts: list[int], first: int = 0) -> Column:
+    """The number of cuts below value, found by halving."""
+    if not cuts:
+        return F.lit(first)
+    mid = len(cuts) // 2
+    return F.when(value <= cuts[mid], _range(value, cuts[:mid], first)).otherwise(_range(value, cuts[mid + 1 :], first + mid + 1))
+
+
 def edit_likeness(docs: DataFrame) -> DataFrame:
     """Per row of docs: its fingerprint, that of an edited text, and two likenesses.
 
     The edit replaces the last floor(n_chars / 2) code points by the first as many, or all, of the next
     document's in the order of doc_id, then text (after the last comes the first). Null texts are
-    empty. A row without doc_id has no place in the order and is its own next. An empty table gives
-    an empty result.
+    empty. A row without doc_id has no place in the order and is its own next. Other columns of docs play
+    no part. An empty table gives an empty result.
 
-    The order is made by ranges of doc_id with about equally many rows; each range also gets the first
-    row of the next one, so no task sees more than its range and no window spans the table.
+    The order is made by ranges of doc_id with about equally many rows, one task each; each range also
+    gets the first row of the next one, so no task sees more than its range and no window spans the table.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts))
-    placed = rows.withColumn("part", F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<bigint>"), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0))
-    placed = placed.withColumn("part", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("part")))
-    firsts = sorted((r["part"], r["first"]) for r in placed.where("part >= 0").groupBy("part").agg(F.min("doc_id").alias("first")).collect())  # one row a range
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []))
+    anywhere = F.pmod(F.xxhash64("text"), F.lit(len(cuts) + 1)).cast("int")
+    placed = rows.withColumn("part", F.when(F.col("doc_id").isNull(), anywhere).otherwise(_range(F.col("doc_id"), cuts)))
+    firsts = sorted((r["part"], r["first"]) for r in placed.where("doc_id is not null").groupBy("part").agg(F.min("doc_id").alias("first")).collect())  # one row a range
     before = spark.createDataFrame([(first, firsts[i - 1][0]) for i, (_, first) in enumerate(firsts)], "doc_id long, to int")
     guests = F.broadcast(before)  # at most spark.sql.shuffle.partitions rows
-    both = placed.join(guests, "doc_id", "left").select(F.explode(F.when(F.col("to").isNull(), F.array(F.struct(F.col("part"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("part"), F.lit(False).alias("guest")), F.struct(F.col("to").alias("part"), F.lit(True).alias("guest"))))).alias("x"), "doc_id", "text")
-    return both.select("x.part", "x.guest", "doc_id", "text").repartition(n, "part").sortWithinPartitions("part", "guest", "doc_id", "text").mapInArrow(_in_order, _OUT)
+    own = F.struct(F.col("part"), F.lit(False).alias("guest"))
+    both = placed.join(guests, "doc_id", "left").select(F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("part"), F.lit(True).alias("guest"))))).alias("x"), "doc_id", "text")
+    return both.select("x.part", "x.guest", "doc_id", "text").repartitionById(len(cuts) + 1, "part").sortWithinPartitions("guest", "doc_id", "text").select("guest", "doc_id", "text").mapInArrow(_in_order, _OUT)
 
 
 def op10_fingerprints(spark, sf_dir: str) -> DataFrame:

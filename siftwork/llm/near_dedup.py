@@ -1,14 +1,19 @@
 """Near-duplicate documents: MinHash bands propose, odd sketches check, full shingle sets confirm.
 
 One Arrow pass turns each text into the digest of its shingle set, band keys of a MinHash signature
-and an odd sketch: every MinHash sample flips one bit of a 256-bit map, so the population count of
+and an odd sketch: every MinHash sample flips one bit of a 512-bit map, so the population count of
 two maps' XOR estimates how many samples differ. Texts with one and the same shingle set form a
 class at once and only its smallest doc_id goes on. In each band bucket every class is first held
 against the bucket's smallest id; after joining what that links, only pairs of a bucket that still
 lie in different components are looked at, by their sketches inside the join, so copies are never
 expanded into all pairs and yet no pair that shares a bucket is left undecided.
 
-The bands miss a pair at the threshold with a probability below 5e-7, the sketch test below 1e-7.
+Texts with much in common that are no copies (a form, a long notice) may fill buckets with very many
+components, whose pairs would grow as their square. Classes of such buckets are matched exactly
+instead: two sets that reach the similarity share one of their rarest shingles, counted among these
+classes (as many as the sets may differ by, and one more), and what all of them have is not rare.
+
+The bands miss a pair at the threshold with a probability below 1e-6, the sketch test below 1e-7.
 """
 
 from __future__ import annotations
@@ -21,22 +26,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from siftwork.llm.common import LOWER, SPACED, Poly, chunks, mix, text_bytes, tidy, words, written
+from siftwork.llm.common import LOWER, SPACED, chunks, digests, forget, mix, packed, text_bytes, tidy, windows, words, written
 from siftwork.llm.components import components
 
-SAMPLES = 128
-SKETCH_BITS = 256
-_WORDS, _SHINGLES = Poly(11), Poly(12)
+SAMPLES = 256
+SKETCH_BITS = 512
+LONGS = SKETCH_BITS // 64
+#: Components of a bucket beyond which its classes are matched by their rarest shingles.
+CROWD = 200
+_SEED = 12
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32)
 _MUL = _RNG.integers(0, 1 << 31, SAMPLES, dtype=np.uint64).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def banding(similarity: float) -> tuple[int, int]:
-    """(bands, rows): fewest candidates for a miss below 5e-7 at the threshold with SAMPLES samples."""
+    """(bands, rows): fewest candidates for a miss below 1e-6 at the threshold with SAMPLES samples."""
     for rows in range(8, 0, -1):
-        bands = math.ceil(math.log(5e-7) / math.log(1 - similarity**rows))
+        bands = math.ceil(math.log(1e-6) / math.log(1 - similarity**rows))
         if bands * rows <= SAMPLES:
             return bands, rows
     raise ValueError(f"similarity {similarity} is too low for {SAMPLES} samples")
@@ -64,24 +73,26 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
     """Hashes of the shingles of all texts, repeats included, and the bounds of each text's part."""
     data = LOWER[data]
     start, end, bounds = words(data, offsets, SPACED)
-    h = _WORDS.of_bytes(data, start, end)
+    h, _ = digests(*packed(data, start, end, SPACED))
     count = np.diff(bounds)
-    runs = _SHINGLES.windows(h, size)
-    short = (count > 0) & (count < size)
-    n = np.where(short, 1, np.maximum(count - size + 1, 0))
+    runs = windows(h, size, _SEED)
+    n = np.where((count > 0) & (count < size), 1, np.maximum(count - size + 1, 0))
     to = np.zeros(len(count) + 1, np.int64)
     np.cumsum(n, out=to[1:])
     own = np.repeat(np.arange(len(count)), n)
     at = bounds[:-1][own] + np.arange(to[-1]) - to[:-1][own]
     out = np.empty(to[-1], np.uint64)
-    full = ~short[own]
+    full = count[own] >= size
     out[full] = runs[at[full]]
-    if short.any():
-        p = _SHINGLES.prefix(h)
-        out[to[:-1][short]] = _SHINGLES.spans(p, bounds[:-1][short], bounds[1:][short])
+    for k in range(1, size):
+        short = np.flatnonzero(count == k)
+        out[to[:-1][short]] = windows(h, k, _SEED)[bounds[:-1][short]]
     return out, to
 
 
+_SKETCH = [f"s{i}" for i in range(LONGS)]
+
+
 def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     for part, data, offsets in chunks(batches):
         h, to = _shingles(data, offsets, size)
@@ -106,7 +117,22 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, bands: int, rows:
             n[i] = len(own)
             d1[i], d2[i] = np.frombuffer(hashlib.blake2b(own.tobytes(), digest_size=16).digest(), np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.where(np.arange(n_docs + 1) > 0, np.arange(n_docs + 1) * bands, 0).astype(np.int32)), pa.array(key.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(4))], ["doc_id", "n_shingles", "d1", "d2", "bands", "s0", "s1", "s2", "s3"])
+        yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n), pa.array(d1), pa.array(d2), lists, *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(LONGS))], ["doc_id", "n_shingles", "d1", "d2", "bands", *_SKETCH])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(id, shingle) for each distinct shingle of each text."""
+    for part, data, offsets in chunks(batches):
+        h, to = _shingles(data, offsets, size)
+        own = np.repeat(np.arange(part.num_rows), np.diff(to))
+        order = np.lexsort((h, own))
+        own, h = own[order], h[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (own[1:] != own[:-1])
+        at = np.flatnonzero(fresh)
+        for k in range(0, len(at), 100_000):
+            some = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own[some])), pa.array(h[some].view(np.int64))], ["id", "shingle"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -137,7 +163,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
 
 def _alike(a: str, b: str, limit: int, percent: int) -> Column:
     """Sizes that allow the similarity, and sketches within limit."""
-    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, 4)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
+    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(1, LONGS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
     n, m = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= limit)
 
@@ -150,19 +176,18 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     fewer words is one shingle; null, empty and blank texts have none and are linked with nothing.
     component_id is the smallest doc_id reachable, kept is doc_id = component_id. Rows that repeat a
     doc_id count as one document; a row without doc_id is linked with nothing, its component_id is
-    null and it is kept. An empty table gives an empty result.
+    null and it is kept. An empty table gives an empty result. Columns of docs besides these two play
+    no part, whatever their names.
     """
     spark = docs.sparkSession
     bands, rows = banding(percent / 100)
     limit = sketch_limit(percent / 100)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = written(
-        texts.mapInArrow(lambda it: _signatures(it, shingle_words, bands, rows), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"),
-        "signatures",
-    )
+    longs = ", ".join(f"{x} long" for x in _SKETCH)
+    sig = written(texts.mapInArrow(lambda it: _signatures(it, shingle_words, bands, rows), f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {longs}"), "signatures")
     classes = written(sig.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    sketches = reps.select(F.col("doc_id").alias("id"), "n_shingles", "s0", "s1", "s2", "s3")
+    sketches = reps.select(F.col("doc_id").alias("id"), "n_shingles", *_SKETCH).dropDuplicates(["id"])
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     hubs = keyed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
     shared = written(keyed.join(hubs, "bucket"), "buckets")
@@ -179,20 +204,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
         .where(_alike("a", "b", limit, percent)).select("u", "v"),
         "pairs",
     )
-    links = confirmed(tested)
-    found = components(links)
+    to_hubs = confirmed(tested)
+    found = components(to_hubs)
     tidy(spark)
 
-    placed = shared.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    apart = written(placed.join(split, "bucket").join(sketches, "id"), "apart")
+    placed = written(shared.select("bucket", "id").join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component")), "placed")
+    split = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count_distinct("component").alias("n")).where("lo < hi").select("bucket", "n")
+    split = written(split, "split")
+    apart = placed.join(split.where(F.col("n") <= CROWD).select("bucket"), "bucket")
+    if not split.where(F.col("n") > CROWD).isEmpty():
+        crowd = placed.join(split.where(F.col("n") > CROWD).select("bucket"), "bucket", "left_semi").select("id", "component").distinct()
+        apart = apart.union(_rarest(texts, crowd, shingle_words, percent))
+    apart = written(apart.join(sketches, "id"), "apart")
     more = (
         apart.alias("a").join(apart.alias("b"), (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _alike("a", "b", limit, percent))
         .select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
         .join(tested, ["u", "v"], "left_anti")
     )
-    links = links.union(confirmed(more))
-    found = components(links)
+    others = confirmed(more)
+    found = components(to_hubs.union(others))
+    forget(shared, placed, split, apart, tested, to_hubs, others)
     tidy(spark)
     member = classes.join(found, classes["rep"] == found["id"], "left").select("d1", "d2", "n_copies", F.coalesce("component", "rep").alias("component_id"))
     own = sig.select("doc_id", "n_shingles", *(F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("d1", "d2")))
@@ -201,6 +232,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     )
 
 
+def _rarest(texts: DataFrame, crowd: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(bucket, id, component): for each id of crowd the rarest of its shingles that others of crowd have.
+
+    Of n shingles it takes the n - ceil(n * percent / 100) + 1 rarest; sets that share percent % of their
+    union have one of these in common. A shingle that one id alone has links nothing.
+    """
+    sets = texts.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(crowd.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = written(sets.mapInArrow(lambda it: _sets(it, shingle_words), "id long, shingle long"), "sets")
+    counts = sets.groupBy("shingle").agg(F.count("*").alias("n"))
+    own = W.partitionBy("id")
+    placed = sets.join(counts, "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("size", F.count("*").over(own))
+    few = placed.where((F.col("place") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1) & (F.col("n") > 1))
+    out = written(few.join(crowd, "id").select(F.col("shingle").alias("bucket"), "id", "component"), "rarest")
+    forget(sets)
+    return out
+
+
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets share 85 % of their union."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

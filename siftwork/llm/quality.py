@@ -5,8 +5,8 @@ lines before and after it, and the labels of neighbouring lines depend on each o
 backward passes give each line's probability of being good; their mean, weighted by the lines'
 lengths, is turned into the document's score by a logistic curve.
 
-The fit uses at most SAMPLE labelled documents, picked by a hash; their lines take the document's
-label. The curve is fitted on a fifth of them that the field does not see.
+The fit uses at most SAMPLE labelled documents of LINES lines together, picked by a hash; their lines
+take the document's label. The curve is fitted on a fifth of them that the field does not see.
 """
 
 from __future__ import annotations
@@ -18,14 +18,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from siftwork.llm.common import SPACED, Poly, chunks, crc32_mod, words
+from siftwork.llm.common import SPACED, chunks, coded, crc32_mod, packed, words
 
-#: Labelled documents in the fit.
-SAMPLE = 5000
+#: Labelled documents in the fit, and lines of them; documents that would go beyond either are left out.
+SAMPLE, LINES = 5000, 300_000
 THRESHOLD = 0.3
 N_FEATURES, N_BINS = 14, 6
-_WORD = Poly(51)
 _UPPER, _LETTER, _DIGIT, _SYMBOL, _STOP, _WIDE = (np.zeros(256, np.float32) for _ in range(6))
 _UPPER[65:91] = 1
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = 1
@@ -50,6 +50,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     start = np.flatnonzero(begins[: len(data)]) if len(data) else np.empty(0, np.int64)
     n_lines = len(start)
     length = np.diff(np.append(start, len(data)))
+    doc = np.searchsorted(offsets, start, "right") - 1
     f = np.zeros((n_lines, N_FEATURES), np.float32)
     if n_lines:
         w_start, w_end, w_bounds = words(data, np.append(start, len(data)), SPACED)
@@ -64,7 +65,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
         chars = np.maximum(length - per_byte(_WIDE), 1)
         letters = per_byte(_LETTER)
-        h = _WORD.of_bytes(data, w_start, w_end)
+        h, _ = coded(*packed(data, w_start, w_end, SPACED))
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
         order = np.lexsort((h, line))
@@ -86,11 +87,10 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         f[:, 10] = per_word(_SYMBOL[last] > 0) / n_words
         f[:, 11] = letters / np.maximum(length, 1)
         f[:, 12] = per_word(w_len <= 4) / n_words
-        key = _WORD.of_bytes(data, start, start + length)
-        order = np.argsort(key, kind="stable")
-        f[order[1:], 13] = key[order][1:] == key[order][:-1]
+        key, _ = coded(data, np.append(start, len(data)))
+        order = np.lexsort((np.arange(n_lines), key, doc))  # a line repeats an earlier one of its own text
+        f[order[1:], 13] = (key[order][1:] == key[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     # texts without a byte get a line of zeros
-    doc = np.searchsorted(offsets, start, "right") - 1
     bounds = np.zeros(n_docs + 1, np.int64)
     count = np.bincount(doc, minlength=n_docs)
     if (size == 0).any():
@@ -137,11 +137,12 @@ def _chains(bounds: np.ndarray) -> list[np.ndarray]:
     return [first[:k] + t for t, k in enumerate(live)]
 
 
-def marginals(score: np.ndarray, step: np.ndarray, chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def marginals(score: np.ndarray, step: np.ndarray, chains: list[np.ndarray], cost: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Forward and backward passes over all texts at once.
 
     score is each line's log weight of good against bad; step[a, b] that of label b after a. Returns
-    (probability of good by line, expected transitions, log normaliser by text, longest first).
+    (probability of good by line, expected transitions, each counted by its line's cost, log normaliser by
+    text, longest first). Without cost no transitions are counted.
     """
     n = len(score)
     unary = np.stack((np.zeros(n), score), axis=1)
@@ -157,9 +158,9 @@ def marginals(score: np.ndarray, step: np.ndarray, chains: list[np.ndarray]) ->
         ahead = beta[at] + unary[at]
         beta[at - 1] = np.logaddexp(step[:, 0] + ahead[:, :1], step[:, 1] + ahead[:, 1:])
     z = np.logaddexp(alpha[:, 0] + beta[:, 0], alpha[:, 1] + beta[:, 1])
-    for at in chains[1:]:
+    for at in chains[1:] if cost is not None else ():
         pair = alpha[at - 1][:, :, None] + step[None] + (unary[at] + beta[at])[:, None, :] - z[at][:, None, None]
-        expected += np.exp(pair).sum(0)
+        expected += (np.exp(pair) * cost[at][:, None, None]).sum(0)
     if chains:
         total = z[chains[0]]
     return np.exp(alpha[:, 1] + beta[:, 1] - z), expected, total
@@ -194,16 +195,15 @@ def fit(features: list[np.ndarray], lengths: list[np.ndarray], label: np.ndarray
     moves = np.array([[np.sum((each - 1)[y == 0] / each[y == 0]) * share[0], 0], [0, np.sum((each - 1)[y == 1] / each[y == 1]) * share[1]]])
     theta = np.zeros(len(field.weight) + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    links = np.concatenate([cost[at] for at in chains[1:]]) if len(chains) > 1 else np.empty(0)
     for i in range(1, rounds + 1):
         weight, bias, step = theta[:-5], theta[-5], theta[-4:].reshape(2, 2)
         score = weight[place].sum(1) + bias
-        p, expected, _ = marginals(score, step, chains)
+        p, expected, _ = marginals(score, step, chains, cost)
         slope = (truth - p) * cost
         g = np.zeros_like(theta)
         g[:-5] = np.bincount(place.ravel(), np.repeat(slope, place.shape[1]), minlength=len(weight))
         g[-5] = slope.sum()
-        g[-4:] = (moves - expected * (links.sum() / max(expected.sum(), 1e-9))).ravel()
+        g[-4:] = (moves - expected).ravel()
         g -= decay * theta
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta + 0.08 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-8)
@@ -236,15 +236,18 @@ def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list[np.nda
     """Line features, line lengths and labels of at most limit labelled documents, as a hash picks them."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("quality"))
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.where("text is not null").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", "text").dropDuplicates(["doc_id"])
+    rows = docs.where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+    lines = rows.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n"))
+    so_far = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))  # over at most limit numbers
+    rows = rows.join(F.broadcast(lines.withColumn("n", so_far).where(F.col("n") <= LINES).select("doc_id")), "doc_id")
 
-    def lines(batches):
+    def features(batches):
         for part, data, offsets in chunks(batches):
             f, length, bounds = line_features(data, offsets)
             cut = [(f[a:b].tobytes(), length[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c[0] for c in cut], pa.binary()), pa.array([c[1] for c in cut], pa.binary())], ["doc_id", "quality", "f", "n"])
 
-    found = sorted(rows.mapInArrow(lines, "doc_id long, quality int, f binary, n binary").collect(), key=lambda r: r["doc_id"])  # at most limit rows
+    found = sorted(rows.select("doc_id", "quality", "text").mapInArrow(features, "doc_id long, quality int, f binary, n binary").collect(), key=lambda r: r["doc_id"])  # at most limit rows, LINES lines
     return [np.frombuffer(r["f"], np.float32).reshape(-1, N_FEATURES) for r in found], [np.frombuffer(r["n"], np.int64) for r in found], np.array([r["quality"] for r in found])
 
 
@@ -252,10 +255,11 @@ def _scorer(learn_from: DataFrame, labels: DataFrame, limit: int):
     """A function from a batch of texts (bytes, offsets) to their scores."""
     learned = sampled(learn_from.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, limit)
     field = fit(*learned) if len(set(learned[2].tolist())) == 2 else None
+    share = float(learned[2].mean()) if len(learned[2]) else 0.5
 
     def score(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if field is None:
-            return np.ones(len(offsets) - 1)
+            return np.full(len(offsets) - 1, share)
         x = _logits(field, *line_features(data, offsets))
         return 1 / (1 + np.exp(-np.clip(field.curve[0] * x + field.curve[1], -30, 30)))
 
@@ -266,9 +270,9 @@ def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, limit: int
     """Per row of docs: doc_id and score, the probability from its text alone that its quality is 1.
 
     learn_from has the documents that may teach, labels their quality (0 or 1; other values and nulls
-    teach nothing; of several labels the larger counts). Null and empty texts are one empty line. With
-    labels of one kind only, or none, every score is 1. Repeated rows get equal scores; an empty table
-    gives an empty result.
+    teach nothing; of several labels, or texts of an id, the larger counts). Null and empty texts are one
+    empty line. With labels of one kind only every score is that kind, without labels 0.5. Equal texts get
+    equal scores, wherever they stand; an empty table gives an empty result. Other columns play no part.
     """
     score = _scorer(learn_from, labels, limit)
 

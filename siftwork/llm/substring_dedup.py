@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.llm.blocks import Blocks, blocked, one_block, write_by_block
-from siftwork.llm.common import SPACED, Poly, chunks, owners, tidy, words
+from siftwork.llm.blocks import Blocks, ByBlock, blocked, count_blocks, one_block, write_by_block
+from siftwork.llm.common import SPACED, chunks, digests, forget, owners, packed, tidy, windows, words
 
 #: Perfect difference sets: modulus and residues.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
-_W1, _W2, _A, _H1, _H2 = Poly(21), Poly(22), Poly(23), Poly(24), Poly(25)
+_ANCHOR, _SEED1, _SEED2 = 23, 24, 25
 I64 = np.int64
 #: Distinct keys that a task holds before it sends them on.
 HELD = 4_000_000
@@ -36,16 +36,16 @@ def cover(window: int) -> tuple[int, tuple[int, ...]]:
 
 
 def _anchored(data, offsets, window):
-    """Word bounds, owners, anchor flags and hashes (hash i is of the anchor at word i)."""
+    """Word bounds, owners, places, digests by half, anchors' hashes (hash i is of the anchor at word i) and flags."""
     v, residues = cover(window)
     size = window - v + 1
     start, end, bounds = words(data, offsets, SPACED)
     own = owners(bounds)
     place = np.arange(len(start)) - bounds[:-1][own]
-    h = _W1.of_bytes(data, start, end)
-    runs = _A.windows(h, size).view(I64)
+    h, g = digests(*packed(data, start, end, SPACED))
+    runs = windows(h, size, _ANCHOR).view(I64)
     flag = np.isin(np.arange(v), residues)[place % v] & (place + size <= np.diff(bounds)[own])
-    return start, end, bounds, own, place, h, runs, flag
+    return bounds, own, place, h, g, runs, flag
 
 
 def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +75,7 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             n = 0
         block = b
         for part, data, offsets in chunks([batch]):
-            _, _, _, own, _, _, runs, flag = _anchored(data, offsets, window)
+            _, own, _, _, _, runs, flag = _anchored(data, offsets, window)
             ids, valid = _ids(part)
             at = np.flatnonzero(flag)
             at = at[valid[own[at]]]
@@ -84,26 +84,26 @@ def _anchors(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
     yield from flush()
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], window: int, path: str) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], window: int, table: ByBlock) -> Iterator[pa.RecordBatch]:
     """Per block the distinct windows that start near a shared anchor: (h1, h2, block, lo, hi doc_id)."""
-    shared = Blocks(path, ["key"], [I64])
+    shared = Blocks(table, ["key"], [I64])
     v, _ = cover(window)
     for block, batch in one_block(batches):
         (keys,) = shared(block)
         if not len(keys):
             continue
         for part, data, offsets in chunks([batch]):
-            start, end, bounds, own, place, h, runs, flag = _anchored(data, offsets, window)
+            bounds, own, place, h, g, runs, flag = _anchored(data, offsets, window)
             ids, valid = _ids(part)
             at = np.flatnonzero(flag)
             at = at[valid[own[at]]]
-            near = np.zeros(len(start) + v + 1, I64)
+            near = np.zeros(len(h) + v + 1, I64)
             near[at + 1] = keys[np.minimum(np.searchsorted(keys, runs[at]), len(keys) - 1)] == runs[at]
             np.cumsum(near, out=near)
-            pick = np.flatnonzero((near[v : v + len(start)] > near[: len(start)]) & (place + window <= np.diff(bounds)[own]) & valid[own])
+            pick = np.flatnonzero((near[v : v + len(h)] > near[: len(h)]) & (place + window <= np.diff(bounds)[own]) & valid[own])
             if not len(pick):
                 continue
-            h1, h2 = _H1.windows(h, window)[pick], _H2.windows(_W2.of_bytes(data, start, end), window)[pick]
+            h1, h2 = windows(h, window, _SEED1)[pick], windows(g, window, _SEED2)[pick]
             doc = ids[own[pick]]
             order = np.lexsort((h2, h1))
             h1, h2, doc = h1[order], h2[order], doc[order]
@@ -124,9 +124,9 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return out, to
 
 
-def _removed(batches: Iterator[pa.RecordBatch], window: int, path: str) -> Iterator[pa.RecordBatch]:
+def _removed(batches: Iterator[pa.RecordBatch], window: int, table: ByBlock) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_words, n_removed, kept_text) per document."""
-    firsts = Blocks(path, ["h1", "h2", "least"], [I64, I64, I64])
+    firsts = Blocks(table, ["h1", "h2", "least"], [I64, I64, I64])
     for block, batch in one_block(batches):
         k1, k2, least = firsts(block)
         for part, data, offsets in chunks([batch]):
@@ -136,12 +136,13 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, path: str) -> Itera
             gone = np.zeros(len(start) + 1, I64)
             if len(k1) and len(start) >= window:
                 ids, valid = _ids(part)
-                h1 = _H1.windows(_W1.of_bytes(data, start, end), window).view(I64)
+                h, g = digests(*packed(data, start, end, SPACED))
+                h1 = windows(h, window, _SEED1).view(I64)
                 at = np.minimum(np.searchsorted(k1, h1), len(k1) - 1)
                 place = np.arange(len(h1)) - bounds[:-1][own[: len(h1)]]
                 hit = np.flatnonzero((k1[at] == h1) & (place + window <= count[own[: len(h1)]]) & valid[own[: len(h1)]])
                 if len(hit):
-                    h2 = _H2.windows(_W2.of_bytes(data, start, end), window).view(I64)[hit]
+                    h2 = windows(g, window, _SEED2).view(I64)[hit]
                     at = at[hit]
                     seen = np.zeros(len(hit), bool)
                     while True:  # rows of equal h1 stand together; nearly always there is one
@@ -172,14 +173,16 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     texts = blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts")
+    blocks = count_blocks(texts)
     anchors = texts.mapInArrow(lambda it: _anchors(it, window), "key long, tag long")
     same = W.partitionBy("key")
     shared = anchors.withColumn("n", F.count("*").over(same)).withColumn("several", F.max(F.col("tag") % 2).over(same)).where("n > 1 or several = 1")
-    path = write_by_block(shared.select(F.expr("cast(tag div 2 as int)").alias("block"), "key").distinct(), "anchors", "key")
+    met = write_by_block(shared.select(F.expr("cast(tag div 2 as int)").alias("block"), "key").distinct(), "anchors", blocks, "key")
     tidy(spark)
-    found = texts.mapInArrow(lambda it: _candidates(it, window, path), "h1 long, h2 long, block int, lo long, hi long")
+    found = texts.mapInArrow(lambda it: _candidates(it, window, met), "h1 long, h2 long, block int, lo long, hi long")
     least = found.withColumn("least", F.min("lo").over(W.partitionBy("h1", "h2"))).where("least < hi")
-    first = write_by_block(least.select("block", "h1", "h2", "least").distinct(), "windows", "h1")
+    first = write_by_block(least.select("block", "h1", "h2", "least").distinct(), "windows", blocks, "h1")
+    forget(met.path)
     tidy(spark)
     return texts.mapInArrow(lambda it: _removed(it, window, first), "doc_id long, n_words long, n_removed long, kept_text string")
 

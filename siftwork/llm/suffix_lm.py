@@ -2,15 +2,17 @@
 
 The model reads a text as its tokens spelled out: the bytes of each lower-cased word and a space,
 and an end mark after the last. It predicts each symbol from the longest retained context of up to
-DEPTH symbols before it, over word borders. A context is retained if its share of all symbols is at
-least P_MIN and its next-symbol distribution diverges from that of the context one shorter (twice
-the log-likelihood gain is at least GAIN); what a retained context needs for shorter steps is kept
-too. Distributions are smoothed with that of the shorter context (Witten-Bell), down to a uniform one.
-
-All training documents count. Grams of DEPTH + 1 symbols are counted by task and summed in one
-exchange; P_MIN bounds the tree (at most DEPTH / P_MIN contexts), so it can go to every task however
-much text there is. The baseline's vocabulary has no such bound: it is summed in an exchange by word
-and comes back block by block.
+DEPTH symbols before it, over word borders. A context is retained if it was seen LEAST times and its
+next symbols diverge from what the longest retained shorter context predicts: twice the gain in log
+likelihood must exceed GAIN and two for each kind of symbol after the first. Distributions are
+smoothed with that of the shorter context (Witten-Bell), down to a uniform one.
+
+All training documents count, and neither test depends on the size of the corpus, so the tree grows
+with it. No task or driver holds the tree: each block's grams of DEPTH + 1 symbols are summed in one
+exchange; the part of the tree below three symbols lies in one partition, which predicts every gram
+there; and the predictions return to the blocks that have the gram. Only contexts of up to two
+symbols (at most 2 ** 24 rows) are read by every task that predicts. The baseline's vocabulary
+comes back block by block in the same way.
 """
 
 from __future__ import annotations
@@ -18,29 +20,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.llm.blocks import Blocks, blocked, one_block, write_by_block
-from siftwork.llm.common import LOWER, SPACED, Poly, chunks, crc32_mod, forget, owners, tidy, words, written
+from siftwork.llm.blocks import Blocks, blocked, count_blocks, one_block, write_by_block
+from siftwork.llm.common import LOWER, SPACED, chunks, crc32_mod, digests, forget, owners, packed, tidy, words, written
 
-DEPTH = 5
-P_MIN = 2e-6
-GAIN = 30.0
+DEPTH = 6
+LEAST, GAIN = 2, 6.0
 SYMBOLS = 257
-I64 = np.int64
-_WORD = Poly(61)
-#: Key of the end token (no word's hash is looked up under it but by chance of 2**-64).
+I64, U64 = np.int64, np.uint64
+#: Key of the end token (no word's digest is looked up under it but by chance of 2**-64).
 END_KEY = I64(0x0E0D)
 _HELD = 3_000_000
-_CACHE_BITS = 20
+_GROUP = 400_000
+_SLOT_BITS = 21
 
 
 def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of DEPTH + 1 symbols that end at each symbol of all texts, and where each text's begin."""
+    """Grams of DEPTH + 1 symbols that end at each symbol of all texts, and where each text's begin.
+
+    The symbol is the lowest byte; of those before it the nearest is the highest byte, so grams that
+    share a context stand together when sorted.
+    """
     n_docs = len(bounds) - 1
     size = end - start + 1
     to = np.concatenate(([0], np.cumsum(size)))
@@ -52,10 +56,10 @@ def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.nda
     at = np.arange(to[-1]) + np.repeat(pad, size)
     out[at] = data[np.minimum(at + shift, max(len(data) - 1, 0))]
     out[begin + size - 1] = 0x20
-    wide = out.astype(np.uint64)
+    wide = out.astype(U64)
     code = wide[DEPTH:].copy()
     for k in range(1, DEPTH + 1):
-        code |= wide[DEPTH - k : length - k] << np.uint64(8 * k)
+        code |= wide[DEPTH - k : length - k] << U64(8 * (DEPTH + 1 - k))
     n_symbols = to[bounds[1:]] - to[bounds[:-1]] + 1
     first = np.concatenate(([0], np.cumsum(n_symbols)))
     real = np.arange(first[-1]) + np.repeat(np.arange(n_docs) * DEPTH, n_symbols)
@@ -67,6 +71,10 @@ def _read(data, offsets):
     return data, *words(data, offsets, SPACED)
 
 
+def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return digests(*packed(data, start, end, SPACED))[0].view(I64)
+
+
 def _grouped(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")
     key, n = key[order], n[order]
@@ -91,124 +99,151 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks([batch]):
             data, start, end, bounds = _read(data, offsets)
             learn = part.column(2).to_numpy(zero_copy_only=False).astype(I64)
-            key = np.concatenate((_WORD.of_bytes(data, start, end).view(I64), np.full(part.num_rows, END_KEY)))
+            key = np.concatenate((_keys(data, start, end), np.full(part.num_rows, END_KEY)))
             held.append(_grouped(key, np.concatenate((learn[owners(bounds)], learn))))
             size += len(held[-1][0])
     yield from flush()
 
 
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(gram, n) over the training documents of a task."""
-    held, size = [], 0
+    """(block, gram, n): the grams of a block and how often training documents in it have each."""
+    held, size, now = [], 0, None
+
+    def merged() -> list:
+        return [_grouped(*(np.concatenate(x) for x in zip(*held)))] if len(held) > 1 else held
 
     def flush():
-        if held:
-            key, n = _grouped(*(np.concatenate(x) for x in zip(*held)))
-            yield from pa.Table.from_arrays([pa.array(key), pa.array(n)], ["gram", "n"]).to_batches(max_chunksize=100_000)
+        for key, n in merged():
+            yield from pa.Table.from_arrays([pa.array(np.full(len(key), now, np.int32)), pa.array(key), pa.array(n)], ["block", "gram", "n"]).to_batches(max_chunksize=100_000)
         held.clear()
 
-    for part, data, offsets in chunks(batches):
-        data, start, end, bounds = _read(data, offsets)
-        code, first = spelled(data, start, end, bounds)
-        learn = np.repeat(part.column(2).to_numpy(zero_copy_only=False), np.diff(first))
-        key, n = np.unique(code[learn], return_counts=True)
-        held.append((key.view(I64), n))
-        size += len(key)
-        if size > _HELD:
-            held[:] = [_grouped(*(np.concatenate(x) for x in zip(*held)))]
-            size = len(held[0][0])
-            if size > _HELD // 2:
-                yield from flush()
-                size = 0
+    for block, batch in one_block(batches):
+        if block != now:
+            yield from flush()
+            now, size = block, 0
+        for part, data, offsets in chunks([batch]):
+            data, start, end, bounds = _read(data, offsets)
+            code, first = spelled(data, start, end, bounds)
+            learn = np.repeat(part.column(2).to_numpy(zero_copy_only=False), np.diff(first)).astype(I64)
+            held.append(_grouped(code.view(I64), learn))
+            size += len(held[-1][0])
+            if size > _HELD:
+                held[:] = merged()
+                size = len(held[0][0])
+                if size > _HELD // 2:
+                    yield from flush()
+                    size = 0
     yield from flush()
 
 
-def grow(grams: DataFrame) -> tuple[pd.DataFrame, int]:
-    """The tree as rows (depth, context, symbol, n), retained contexts only, and the number of symbols.
+def _sharper(context: np.ndarray, symbol: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities of symbols after contexts that are one symbol longer than those which gave p.
 
-    grams is (gram, n) with each gram once. Contexts are pruned where the counts are; what is collected
-    is bounded by P_MIN.
+    Rows of a context stand together, all of them; rows of an equal context and symbol have equal p.
     """
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return pd.DataFrame(columns=["depth", "context", "symbol", "n"]), 0
-    least = max(2.0, P_MIN * total)
-    mask = [(1 << (8 * k)) - 1 for k in range(DEPTH + 1)]
-    by_depth = F.explode(F.array(*(F.struct(F.lit(k).alias("depth"), F.shiftright("gram", 8).bitwiseAND(F.lit(mask[k]).cast("long")).alias("context")) for k in range(DEPTH + 1)))).alias("x")
-    counts = written(grams.select(by_depth, F.col("gram").bitwiseAND(F.lit(255).cast("long")).alias("symbol"), "n").groupBy("x.depth", "x.context", "symbol").agg(F.sum("n").alias("n")), "counts")
-    sums = counts.groupBy("depth", "context").agg(F.sum("n").alias("all")).where(F.col("all") >= least)
-    big = counts.join(sums, ["depth", "context"])
-    shorter = F.expr(" ".join(["case depth", *(f"when {k} then context & {mask[k - 1]}L" for k in range(1, DEPTH + 1)), "end"]))
-    child = big.where("depth > 0").select("depth", "context", "symbol", "n", "all", (F.col("depth") - 1).alias("up"), shorter.alias("suffix"))
-    parent = big.select(F.col("depth").alias("up"), F.col("context").alias("suffix"), "symbol", F.col("n").alias("m"), F.col("all").alias("of"))
-    gain = 2 * F.sum(F.col("n") * F.log((F.col("n") / F.col("all")) / (F.col("m") / F.col("of"))))
-    tested = child.join(parent, ["up", "suffix", "symbol"]).groupBy("depth", "context").agg(gain.alias("gain")).where(F.col("gain") >= GAIN)
-    suffixes = F.explode(F.filter(F.array(*(F.struct(F.lit(k).alias("depth"), F.col("context").bitwiseAND(F.lit(mask[k]).cast("long")).alias("context")) for k in range(DEPTH + 1))), lambda s: s["depth"] <= F.col("depth")))
-    retained = tested.select(suffixes.alias("x")).select("x.depth", "x.context").union(sums.where("depth = 0").select("depth", "context")).distinct()
-    rows = counts.join(retained, ["depth", "context"]).select("depth", "context", "symbol", "n").toArrow().to_pandas()
-    forget(counts)
-    return rows, total
+    order = np.lexsort((symbol, context))
+    context, symbol, n, q = context[order], symbol[order], n[order], p[order]
+    new = np.ones(len(n), bool)
+    new[1:] = (context[1:] != context[:-1]) | (symbol[1:] != symbol[:-1])
+    pair = np.cumsum(new) - 1
+    at = np.flatnonzero(new)
+    count, q, context = np.add.reduceat(n, at).astype(np.float64), q[at], context[at]
+    first = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
+    size = np.diff(np.append(first, len(context)))
+    total, kinds = np.add.reduceat(count, first), np.add.reduceat((count > 0).astype(np.float64), first)
+    share = count / np.repeat(np.maximum(total, 1), size)
+    gain = 2 * np.add.reduceat(np.where(count > 0, count * np.log(np.maximum(share, 1e-300) / q), 0.0), first)
+    kept = np.repeat((total >= LEAST) & (gain >= GAIN + 2 * (kinds - 1)), size)
+    total, kinds = np.repeat(total, size), np.repeat(kinds, size)
+    q = np.where(kept, (count + kinds * q) / np.maximum(total + kinds, 1), q)
+    out = np.empty(len(p))
+    out[order] = q[pair]
+    return out
+
+
+class Shallow:
+    """Probabilities after contexts of up to two symbols, from all (context, symbol, n) of two."""
+
+    def __init__(self, table: pa.Table):
+        context, symbol, n = (table.column(c).to_numpy().astype(I64) for c in ("context", "symbol", "n"))
+        order = np.lexsort((symbol, context))
+        context, symbol, n = context[order], symbol[order], n[order]
+        self.key = (context << 8) | symbol
+        p = np.full(len(n), 1 / SYMBOLS)
+        for k in range(3):
+            p = _sharper(context >> (8 * (2 - k)), symbol, n, p)
+        self.p = p
+
+    def __call__(self, gram: np.ndarray) -> np.ndarray:
+        key = ((gram >> U64(8 * (DEPTH - 2))) & ~U64(255)) | (gram & U64(255))
+        return self.p[np.searchsorted(self.key, key.astype(I64))]
+
+
+def predicted(gram: np.ndarray, n: np.ndarray, shallow: Shallow) -> np.ndarray:
+    """log10 of each gram's symbol after those before it; all grams that share three symbols are here, sorted."""
+    p = shallow(gram)
+    for k in range(3, DEPTH + 1):
+        p = _sharper(gram >> U64(8 * (DEPTH + 1 - k)), gram & U64(255), n, p)
+    return np.log10(p)
+
+
+def predictions(grams: DataFrame) -> DataFrame:
+    """(gram, p), written: log10 of the last symbol of each gram of grams (gram, n; each gram once, n may be 0)."""
+    three = F.shiftrightunsigned("gram", 8 * (DEPTH - 2))
+    low = written(grams.groupBy(F.shiftright(three, 8).alias("context"), F.col("gram").bitwiseAND(F.lit(255).cast("long")).alias("symbol")).agg(F.sum("n").alias("n")), "shallow")
+    path = low._siftwork_path
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        fs, root = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+        shallow, held, size = None, [], 0
+
+        def flush(some: list):
+            nonlocal shallow
+            if some:
+                if shallow is None:
+                    shallow = Shallow(ds.dataset(root, filesystem=fs, format="parquet").to_table())  # at most 2 ** 24 rows
+                gram, n = (np.concatenate(x) for x in zip(*some))
+                p = predicted(gram, n, shallow).astype(np.float32)
+                yield from pa.Table.from_arrays([pa.array(gram.view(I64)), pa.array(p)], ["gram", "p"]).to_batches(max_chunksize=100_000)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            gram, n = batch.column(0).to_numpy().view(U64), batch.column(1).to_numpy()
+            group = gram >> U64(8 * (DEPTH - 2))
+            last = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            if size + last >= _GROUP and (last or held and held[-1][0][-1] >> U64(8 * (DEPTH - 2)) != group[-1]):
+                yield from flush([*held, (gram[:last], n[:last])] if last else held)
+                held, size, gram, n = [], 0, gram[last:], n[last:]
+            held.append((gram, n))
+            size += len(gram)
+        yield from flush(held)
 
+    out = written(grams.select("gram", "n").repartition(three).sortWithinPartitions("gram").mapInArrow(run, "gram long, p float"), "predictions")
+    forget(low)
+    return out
 
-class Tree:
-    """The smoothed tree, with a cache of grams scored lately."""
 
-    def __init__(self, rows):
-        self.pair, self.state = [], []
-        for k in range(DEPTH + 1):
-            own = rows[rows["depth"] == k] if len(rows) else None
-            if own is None or not len(own):
-                self.pair.append((np.empty(0, np.uint64), np.empty(0)))
-                self.state.append((np.empty(0, np.uint64), np.empty(0)))
-                continue
-            key = (own["context"].to_numpy().astype(np.uint64) << np.uint64(8)) | own["symbol"].to_numpy().astype(np.uint64)
-            order = np.argsort(key)
-            key, n = key[order], own["n"].to_numpy()[order].astype(np.float64)
-            context = key >> np.uint64(8)
-            at = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1])))
-            kinds, total = np.diff(np.append(at, len(key))), np.add.reduceat(n, at)
-            self.state.append((context[at], np.log10(kinds / (total + kinds))))
-            below = self._shorter(key, k)
-            each = np.diff(np.append(at, len(key)))
-            p = (n + np.repeat(kinds, each) * 10.0**below) / np.repeat(total + kinds, each)
-            self.pair.append((key, np.log10(p)))
-        self.known = np.full(1 << _CACHE_BITS, np.uint64(0xFFFFFFFFFFFFFFFF))
-        self.value = np.zeros(1 << _CACHE_BITS)
-
-    def _shorter(self, key: np.ndarray, k: int) -> np.ndarray:
-        return self._exact(key & np.uint64((1 << (8 * k)) - 1), k - 1) if k else np.full(len(key), -np.log10(SYMBOLS))
-
-    def _exact(self, code: np.ndarray, depth: int = DEPTH) -> np.ndarray:
-        """log10 of each code's last symbol given those before it."""
-        out, left = np.zeros(len(code)), np.arange(len(code))
-        for k in range(depth, -1, -1):
-            part = code[left] & np.uint64((1 << (8 * (k + 1))) - 1)
-            keys, value = self.pair[k]
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, part), len(keys) - 1)
-                hit = keys[at] == part
-                out[left[hit]] += value[at[hit]]
-                left, part = left[~hit], part[~hit]
-                states, back = self.state[k]
-                at = np.minimum(np.searchsorted(states, part >> np.uint64(8)), len(states) - 1)
-                held = states[at] == part >> np.uint64(8)
-                out[left[held]] += back[at[held]]
-            if not len(left):
-                return out
-        out[left] -= np.log10(SYMBOLS)
-        return out
-
-    def __call__(self, code: np.ndarray) -> np.ndarray:
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(I64)
-        out = self.value[slot]
-        miss = np.flatnonzero(self.known[slot] != code)
-        if len(miss):
-            own, back = np.unique(code[miss], return_inverse=True)
-            value = self._exact(own)
-            out[miss] = value[back]
-            slot, pick = np.unique(((own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(I64), return_index=True)
-            self.known[slot], self.value[slot] = own[pick], value[pick]
-        return out
+class Slots:
+    """Looks grams up in a block's table."""
+
+    def __init__(self, gram: np.ndarray, p: np.ndarray):
+        self.gram, self.p = gram, p
+        self.place = np.zeros(1 << _SLOT_BITS, np.int32)
+        self.place[self._slot(gram)] = np.arange(len(gram))
+
+    @staticmethod
+    def _slot(gram: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((gram.view(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - _SLOT_BITS)).astype(I64)
+
+    def __call__(self, gram: np.ndarray) -> np.ndarray:
+        at = self.place[self._slot(gram)]
+        miss = np.flatnonzero(self.gram[at] != gram)
+        at[miss] = np.searchsorted(self.gram, gram[miss])
+        return self.p[at]
 
 
 _OUT = "doc_id long, n_tokens long, n_known long, base_score double, score double"
@@ -219,40 +254,47 @@ def suffix_tree_scores(docs: DataFrame, learns) -> DataFrame:
 
     learns is a column over docs: whether a row teaches. Tokens are lower-cased (A-Z) words, then one end.
     base_score sums log10((c + 0.5) / (N + 0.5 * (V + 1))) with the counts of the rows that teach;
-    score is the tree's log10 probability of the tokens. Null and empty texts are the end alone. With no
-    row that teaches, counts are 0 and the tree is uniform. Repeated rows count, and are scored, each; an
-    empty table gives an empty result.
+    score is the tree's log10 probability of the tokens. Null and empty texts are the end alone. A null in
+    learns does not teach; with no row that teaches, counts are 0 and the tree is uniform. Repeated rows
+    count, and are scored, each; an empty table gives an empty result. Other columns play no part.
     """
     spark = docs.sparkSession
-    texts = blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), learns.alias("learns")), "texts")
+    texts = blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learns.cast("boolean"), F.lit(False)).alias("learns")), "texts")
+    blocks = count_blocks(texts)
     by_key = W.partitionBy("key")
     found = texts.mapInArrow(_word_counts, "block int, key long, n long").withColumn("total", F.sum("n").over(by_key)).withColumn("first", F.min("block").over(by_key) == F.col("block"))
-    path = write_by_block(found.select("block", "key", "total", "first").distinct(), "vocabulary", "key")
-    counted = spark.read.parquet(path).where("first").agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
+    vocabulary = write_by_block(found.select("block", "key", "total", "first").distinct(), "vocabulary", blocks, "key")
+    counted = spark.read.schema("key long, total long, first boolean").parquet(vocabulary.path).where("first").agg(F.sum("total").alias("n"), F.count_if(F.col("total") > 0).alias("v")).first()
     n_all, n_kinds = counted["n"] or 0, counted["v"] or 0
     tidy(spark)
-    grams = written(texts.mapInArrow(_gram_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    rows, _ = grow(grams)
-    forget(grams)
+    own = written(texts.mapInArrow(_gram_counts, "block int, gram long, n long"), "grams")
+    counts = written(own.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
+    known = predictions(counts)
+    forget(counts)
+    tidy(spark)
+    tree = write_by_block(own.select("block", "gram").distinct().join(known, "gram").select("block", "gram", "p"), "tree", blocks, "gram")
+    forget(own, known)
     tidy(spark)
     under = np.log10(n_all + 0.5 * (n_kinds + 1))
 
     def run(batches):
-        tree, counts = Tree(rows), Blocks(path, ["key", "total"], [I64, I64])
+        counts, grams, slots, now = Blocks(vocabulary, ["key", "total"], [I64, I64]), Blocks(tree, ["gram", "p"], [I64, np.float32]), None, None
         for block, batch in one_block(batches):
             keys, total = counts(block)
+            if block != now:
+                now, slots = block, Slots(*grams(block))
             for part, data, offsets in chunks([batch]):
                 data, start, end, bounds = _read(data, offsets)
                 code, first = spelled(data, start, end, bounds)
-                score = np.add.reduceat(tree(code), first[:-1])
-                key = np.append(_WORD.of_bytes(data, start, end).view(I64), END_KEY)
+                score = np.add.reduceat(slots(code.view(I64)).astype(np.float64), first[:-1])
+                key = np.append(_keys(data, start, end), END_KEY)
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 c = np.where(keys[at] == key, total[at], 0)
                 own = owners(bounds)
                 n = np.diff(bounds) + 1
-                known = np.bincount(own, c[:-1] > 0, minlength=part.num_rows).astype(I64) + int(c[-1] > 0)
+                seen = np.bincount(own, c[:-1] > 0, minlength=part.num_rows).astype(I64) + int(c[-1] > 0)
                 base = np.bincount(own, np.log10(c[:-1] + 0.5), minlength=part.num_rows) + np.log10(c[-1] + 0.5) - n * under
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(seen), pa.array(base), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return texts.select("doc_id", "text", "block").mapInArrow(run, _OUT).withColumn("train_tokens", F.lit(int(n_all)).cast("long"))
 
