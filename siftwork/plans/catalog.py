@@ -1,20 +1,330 @@
-"""Named queries over the driver's tables, with the SQL that checks them."""
+"""Named queries over the driver's tables, with the SQL that checks them.
+
+The tables hold texts, not files: languages and sources stand in for types, web addresses for paths,
+turns of a conversation for pages.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftwork.functions import cleaning as C
+from siftwork.functions import patterns as P
+from siftwork.operators import excerpts, paths, presence, proximity
+from siftwork.plans.query import SearchQuery
+from siftwork.plans.search import matching, search_table
+from siftwork.plans.sinks import json_column, plain_column
+
+TWO, THREE, DISTANCE = ["that", "with"], ["that", "with", "from"], 200
+FLAGSHIP = SearchQuery(tuple(TWO), ("this",), DISTANCE)
+SCOPE = ["*/en/2*", "thther.example.org/"]
+Query = Callable[[SparkSession, str], DataFrame]
+
+_QUERIES: dict[str, Query] = {}
+_ORACLES: dict[str, str] = {}
+
+
+def _table(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+documents, pages, conversations = map(_table, ("documents", "pages", "conversations"))
+
+
+def _query(name: str, oracle: str | None):
+    def add(f: Query) -> Query:
+        _QUERIES[name] = f
+        if oracle is not None:
+            _ORACLES[name] = oracle
+        return f
+
+    return add
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A placeholder until the search exists: the ids of all documents, with no term sought."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Proximity search with excerpts: doc_id, size, excerpts, raw_excerpts of documents that match FLAGSHIP."""
+    return search_table(documents(spark, sf_dir), FLAGSHIP, "doc_id", "text")
+
+
+def _all(text: str, terms: list[str], smart: bool = False) -> str:
+    return " AND ".join(f"regexp_matches({text}, {P.sql_word(t, smart)})" for t in terms)
+
+
+def _any(text: str, terms: list[str]) -> str:
+    return "(" + " OR ".join(f"regexp_matches({text}, {P.sql_word(t)})" for t in terms) + ")"
+
+
+def _near(table: str, key: str, text: str, terms: list[str], smart: bool = False) -> str:
+    return proximity.sql_min_span(proximity.sql_occurrences(table, key, text, terms, smart), key, len(terms))
+
+
+_CLEAN = C.sql_chain("text", C.CLEAN)
+
+
+@_query("count_documents", "SELECT count(*) AS documents FROM documents")
+def count_documents(spark, sf_dir):
+    return documents(spark, sf_dir).agg(F.count("*").alias("documents"))
+
+
+@_query("type_filter", "SELECT doc_id, lang FROM documents WHERE lower('.' || lang) IN ('.en', '.de')")
+def type_filter(spark, sf_dir):
+    return documents(spark, sf_dir).where(paths.of_types(F.concat(F.lit("."), "lang"), ["en", "de"])).select("doc_id", "lang")
+
+
+@_query("only_type", "SELECT doc_id FROM documents WHERE lang = 'fr'")
+def only_type(spark, sf_dir):
+    return documents(spark, sf_dir).where(paths.of_types(F.concat(F.lit("."), "lang"), ["fr"])).select("doc_id")
+
+
+@_query("ext_exclude", "SELECT doc_id, source FROM documents WHERE source IS NOT NULL AND '.' || source NOT IN ('.src1', '.SRC2')")
+def ext_exclude(spark, sf_dir):
+    return documents(spark, sf_dir).where(~paths.of_excluded_types(F.concat(F.lit("."), "source"), [".src1", ".SRC2"])).select("doc_id", "source")
+
+
+_BELOW = "regexp_replace(url, '^[a-z]+://', '')"
+
+
+@_query("scope_filter", f"SELECT page_id, {_BELOW} AS path FROM pages WHERE regexp_matches({_BELOW}, '^[^/]*/en/2[^/]*$') OR {_BELOW} = 'thther.example.org' OR starts_with({_BELOW}, 'thther.example.org/')")
+def scope_filter(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    return rows.where(paths.in_scope(F.col("path"), SCOPE))
+
+
+_BUILT = f"replace({_BELOW}, '/fr/', '/build/')"
+
+
+@_query("skipped_folders", f"SELECT page_id FROM pages WHERE NOT list_has_any(string_split({_BUILT}, '/')[:-2], ['build', 'dist', 'vendor', 'tmp', 'temp', 'target', 'coverage', 'node_modules', '.git'])")
+def skipped_folders(spark, sf_dir):
+    return pages(spark, sf_dir).where(~paths.in_skipped_folder(F.replace(F.regexp_replace("url", "^[a-z]+://", ""), F.lit("/fr/"), F.lit("/build/")))).select("page_id")
+
+
+@_query("binary_types", "SELECT doc_id, lower(lang) IN ('msg', 'doc', 'docx', 'odt', 'rtf', 'pdf', 'eml', 'mbox') AS is_binary FROM documents")
+def binary_types(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", paths.is_binary(F.concat(F.lit("."), "lang")).alias("is_binary"))
+
+
+@_query("size_tier", "SELECT doc_id, CASE WHEN n_chars * 10000 > 52428800 THEN 10485760 WHEN n_chars * 10000 > 10485760 THEN 5242880 ELSE n_chars * 10000 END AS cap FROM documents")
+def size_tier(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", presence.read_cap(F.col("n_chars") * 10_000).alias("cap"))
+
+
+@_query("first_word_candidates", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?:^|[^0-9A-Za-z_])[tT][hH][aA][tT](?:[eE][sS]|[sS])?(?:$|[^0-9A-Za-z_])')")
+def first_word_candidates(spark, sf_dir):
+    return documents(spark, sf_dir).where(presence.first_word_candidate(F.col("text"), TWO)).select("doc_id")
+
+
+@_query("presence_single", f"SELECT doc_id FROM documents WHERE {_all('text', ['with'])}")
+def presence_single(spark, sf_dir):
+    return documents(spark, sf_dir).where(presence.present(F.col("text"), ["with"])).select("doc_id")
+
+
+@_query("presence_all", f"SELECT doc_id FROM documents WHERE {_all('text', THREE)}")
+def presence_all(spark, sf_dir):
+    return documents(spark, sf_dir).where(presence.present(F.col("text"), THREE)).select("doc_id")
+
+
+@_query("presence_any", f"SELECT doc_id FROM documents WHERE {_any('text', ['und', 'que', 'les'])}")
+def presence_any(spark, sf_dir):
+    return documents(spark, sf_dir).where(P.has_any(F.col("text"), ["und", "que", "les"])).select("doc_id")
+
+
+@_query("presence_smart_forms", f"SELECT doc_id FROM documents WHERE {_all('text', ['th', 'er'], smart=True)}")
+def presence_smart_forms(spark, sf_dir):
+    return documents(spark, sf_dir).where(presence.present(F.col("text"), ["th", "er"], smart=True)).select("doc_id")
+
+
+_CAP = 500
+_HEAD = f"left(text, {_CAP})"
+
+
+@_query("presence_tristate", f"SELECT doc_id, CASE WHEN {_all(_HEAD, TWO)} THEN true WHEN {_CAP} < strlen(text) THEN NULL ELSE false END AS found FROM documents")
+def presence_tristate(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", presence.present(F.substring("text", 1, _CAP), TWO, F.octet_length("text").cast("long"), _CAP).alias("found"))
+
+
+@_query("presence_undecided_kept", f"SELECT doc_id FROM documents WHERE ({_all(_HEAD, TWO)}) OR {_CAP} < strlen(text)")
+def presence_undecided_kept(spark, sf_dir):
+    return documents(spark, sf_dir).where(presence.keep_undecided(presence.present(F.substring("text", 1, _CAP), TWO, F.octet_length("text").cast("long"), _CAP))).select("doc_id")
+
+
+@_query("rarest_two_prefilter", f"SELECT doc_id FROM documents WHERE {_all('text', ['through', 'because'])} OR {_all('text', ['that', 'with'])}")
+def rarest_two_prefilter(spark, sf_dir):
+    rows = documents(spark, sf_dir)
+    two = presence.longest_two(["of", "that", "with"])
+    return rows.where(presence.present(F.col("text"), presence.longest_two(["a", "through", "because"])) | presence.present(F.col("text"), two)).select("doc_id")
+
+
+@_query("word_count", f"SELECT doc_id, len(regexp_extract_all(text, {P.sql_word('that')}))::INT AS n FROM documents")
+def word_count(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", presence.count_words(F.col("text"), "that").alias("n"))
+
+
+@_query("exclude_words", f"SELECT doc_id FROM documents WHERE NOT {_any('lower(text)', ['this', 'und'])}")
+def exclude_words(spark, sf_dir):
+    return documents(spark, sf_dir).where(~presence.excluded(F.col("text"), ["this", "UND"])).select("doc_id")
+
+
+@_query("exclude_anti_join", f"SELECT doc_id FROM documents WHERE NOT {_any('lower(text)', ['from', 'les', 'und'])}")
+def exclude_anti_join(spark, sf_dir):
+    listed = spark.createDataFrame([("from",), ("LES",), (None,), ("und",)], "word string")
+    return presence.without_listed(documents(spark, sf_dir), listed).select("doc_id")
+
+
+@_query("occurrences", proximity.sql_occurrences("documents", "doc_id", "text", THREE))
+def occurrences(spark, sf_dir):
+    return proximity.occurrences(documents(spark, sf_dir), "doc_id", "text", THREE)
+
+
+@_query("min_span", _near("documents", "doc_id", "text", THREE))
+def min_span(spark, sf_dir):
+    return proximity.min_span(documents(spark, sf_dir), "doc_id", "text", THREE)
+
+
+def _within(terms: list[str], distance: int, smart: bool = False) -> str:
+    if len(terms) == 1:
+        return f"SELECT doc_id FROM (SELECT doc_id, lower({_CLEAN}) AS t FROM documents) WHERE regexp_matches(t, {P.sql_word(terms[0], smart, any_case=False)})"
+    return f"SELECT doc_id FROM ({_near(f'(SELECT doc_id, {_CLEAN} AS t0 FROM documents)', 'doc_id', 't0', terms, smart)}) WHERE span <= {distance}"
+
+
+def _proximity(terms: list[str], distance: int, smart: bool = False) -> Query:
+    def run(spark, sf_dir):
+        return proximity.within(documents(spark, sf_dir).select("doc_id", C.clean(F.col("text")).alias("clean")), "doc_id", "clean", terms, distance, smart).select("doc_id")
+
+    return run
+
+
+for _name, _args in {"proximity_1": (["with"], 0), "proximity_2": (TWO, DISTANCE), "proximity_3": (THREE, 100), "proximity_smart": (["th", "er"], 300, True)}.items():
+    _QUERIES[_name], _ORACLES[_name] = _proximity(*_args), _within(*_args)
+
+
+_TURNS = f"""(SELECT conv_id, turn, lower(coalesce(text, '')) AS t, coalesce(sum(strlen(lower(coalesce(text, ''))) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM conversations)"""
+_TURN_PLACES = f"""SELECT p.k.conv_id AS conv_id, term, pos + start AS pos FROM ({proximity.sql_occurrences(f"(SELECT {{'conv_id': conv_id, 'turn': turn}} AS k, t FROM {_TURNS})", "k", "t", ["the", "that"])}) p JOIN {_TURNS} s ON p.k.conv_id = s.conv_id AND p.k.turn = s.turn"""
+
+
+@_query("page_proximity", f"SELECT conv_id, min(\"right\" - \"left\") AS span FROM ({proximity.sql_spans(_TURN_PLACES, 'conv_id', 2)}) GROUP BY conv_id HAVING span <= 400")
+def page_proximity(spark, sf_dir):
+    return proximity.page_within(conversations(spark, sf_dir), "conv_id", "turn", "text", ["the", "that"], 400)
+
+
+@_query("clean_text", f"SELECT doc_id, {_CLEAN} AS clean FROM documents")
+def clean_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", C.clean(F.col("text")).alias("clean"))
+
+
+@_query("clean_html", f"SELECT page_id, {C.sql_chain('html', C.CLEAN)} AS clean FROM pages")
+def clean_html(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", C.clean(F.col("html")).alias("clean"))
+
+
+@_query("prepare_html", f"SELECT page_id, {C.sql_chain('html', C.PREPARE)} AS prepared FROM pages")
+def prepare_html(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", C.chain(F.col("html"), C.PREPARE).alias("prepared"))
+
+
+@_query("strip_html_entities", f"SELECT page_id, {C.sql_strip_html('html')} AS text FROM pages")
+def strip_html_entities(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", C.strip_html(F.col("html")).alias("text"))
+
+
+@_query("html_text", f"SELECT page_id, {C.sql_html_text('html')} AS text FROM pages")
+def html_text(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", C.html_text(F.col("html")).alias("text"))
+
+
+@_query("xml_text", f"SELECT page_id, {C.sql_chain('html', C.XML_TEXT)} AS text FROM pages")
+def xml_text(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", C.xml_text(F.col("html")).alias("text"))
+
+
+_RTF = r"'{\rtf1\ansi ' || text || '\par }'"
+
+
+@_query("rtf_text", f"SELECT doc_id, {C.sql_chain(_RTF, C.RTF_TEXT)} AS text FROM documents")
+def rtf_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", C.rtf_text(F.concat(F.lit(r"{\rtf1\ansi "), "text", F.lit(r"\par }"))).alias("text"))
+
+
+@_query("highlight", f"SELECT doc_id, {C.sql_highlight('text', TWO)} AS text FROM documents")
+def highlight(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", C.highlight(F.col("text"), TWO).alias("text"))
+
+
+_MAIL = "'From: ' || role || chr(10) || 'Date: ' || turn || ' May' || chr(10) || 'SUBJECT:  ' || text"
+
+
+@_query("email_headers", f"SELECT conv_id, turn, {C.sql_header(f'({_MAIL})', 'Date')} AS email_date, {C.sql_header(f'({_MAIL})', 'Subject')} AS email_subject FROM conversations")
+def email_headers(spark, sf_dir):
+    mail = F.concat(F.lit("From: "), "role", F.lit("\nDate: "), F.col("turn").cast("string"), F.lit(" May\nSUBJECT:  "), "text")
+    return conversations(spark, sf_dir).select("conv_id", "turn", C.header(mail, "Date").alias("email_date"), C.header(mail, "Subject").alias("email_subject"))
+
+
+@_query("junk_lines", r"""SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^[^a-zA-Z]*$|^[{}\[\]();:=<>|\\]{3,}') OR NOT regexp_matches(line, '\pL')) AS obvious
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id""")
+def junk_lines(spark, sf_dir):
+    lines = documents(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count_if(C.is_obvious_junk(F.col("line"))).alias("obvious"))
+
+
+@_query("format_size", f"SELECT doc_id, {C.sql_format_size('(n_chars * 1000)')} AS size FROM documents")
+def format_size(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", C.format_size(F.col("n_chars") * 1000).alias("size"))
+
+
+@_query("format_count", "SELECT doc_id, format('{:,}', n_chars * 1000) AS n FROM documents")
+def format_count(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", C.format_count(F.col("n_chars") * 1000).alias("n"))
+
+
+@_query("clean_bound", f"SELECT doc_id, CASE WHEN strlen({_CLEAN}) <= 65536 THEN strlen({_CLEAN}) ELSE 65536 END AS n FROM documents")
+def clean_bound(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.octet_length(excerpts.bounded(C.clean(F.col("text")))).cast("long").alias("n"))
+
+
+@_query("json_result", f"SELECT to_json({{'file': doc_id::VARCHAR, 'size_bytes': strlen(text), 'excerpts': [left({_CLEAN}, 80)]}})::VARCHAR AS result FROM documents")
+def json_result(spark, sf_dir):
+    return documents(spark, sf_dir).select(json_column(F.col("doc_id").cast("string"), F.octet_length("text"), F.array(F.left(C.clean(F.col("text")), F.lit(80)))).alias("result"))
+
+
+@_query("plain_result", f"SELECT doc_id, 'FILE: ' || doc_id || chr(10) || 'SIZE: ' || strlen(text) || chr(10) || 'EXCERPT 1: ' || left({_CLEAN}, 80) || chr(10) || '---' AS result FROM documents")
+def plain_result(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", plain_column(F.col("doc_id"), F.octet_length("text"), F.array(F.left(C.clean(F.col("text")), F.lit(80)))).alias("result"))
+
+
+def _search(table: str, key: str, text: str, query: SearchQuery) -> str:
+    terms = list(query.terms)
+    rows = f"(SELECT {key}, {C.sql_chain(text, C.CLEAN)} AS t0 FROM {table} WHERE {_all(text, terms)} AND NOT {_any(f'lower({text})', query.excluded_words)})"
+    return f"SELECT {key} FROM ({_near(rows, key, 't0', terms)}) WHERE span <= {query.distance}"
+
+
+PAGES = SearchQuery(("the", "that"), ("cookie",), 2000)
+
+
+@_query("search_documents", _search("documents", "doc_id", "text", FLAGSHIP))
+def search_documents(spark, sf_dir):
+    return matching(documents(spark, sf_dir), FLAGSHIP, "doc_id", "text").select("doc_id")
+
+
+@_query("search_pages", _search("pages", "page_id", "html", PAGES))
+def search_pages(spark, sf_dir):
+    return matching(pages(spark, sf_dir), PAGES, "page_id", "html").select("page_id")
+
+
+@_query("search_excerpts", None)
+def search_excerpts(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@_query("sentences", None)
+def sentences(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", excerpts.sentence_column(F.col("text")).alias("sentences"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
