@@ -117,7 +117,7 @@ def rtf_text(text: Column) -> Column:
 
 def salvage_ascii(data: Column) -> Column:
     """Printable ASCII of a binary column, everything else as space, collapsed and trimmed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.decode(data, F.lit("ISO-8859-1")), r"[^\t\n\r\x20-\x7e]", " "), r"[\t\n\f\r ]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.decode(data, "ISO-8859-1"), r"[^\t\n\r\x20-\x7e]", " "), r"[\t\n\f\r ]+", " "))
 
 
 def header(text: Column, name: str) -> Column:

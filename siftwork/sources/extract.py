@@ -184,7 +184,8 @@ def early_verdict(ext: Column, content: Column, size: Column, terms: list[str],
     """Before extraction: true if all terms are there, false if that can be ruled out, else null.
 
     Mails and rich text are judged by their raw bytes up to the cap; packed documents by their entry up to
-    the cap, which rules out nothing beyond it; older documents' streams can only confirm.
+    the cap, which rules out nothing beyond it; streams of compound files, whose text may be two-byte, can
+    only confirm.
     """
     from siftwork.operators.presence import longest_two, present
 
@@ -202,7 +203,7 @@ def early_verdict(ext: Column, content: Column, size: Column, terms: list[str],
                     if all(p.search(_decoded(xml[:cap])) for p in patterns):
                         return True
                     return False if len(xml) <= cap else None
-                text = "\n".join(wide_text(raw) or salvaged(raw) for name, raw in streams(data) if name in DOC_STREAMS and raw)
+                text = "\n".join(wide_text(raw) or salvaged(raw) for name, raw in streams(data) if raw and (name in DOC_STREAMS or name.endswith("001F")))
                 return True if all(p.search(text) for p in patterns) else None
             except Exception:  # noqa: BLE001 - undecided
                 return None
@@ -210,5 +211,5 @@ def early_verdict(ext: Column, content: Column, size: Column, terms: list[str],
         return pd.Series([None if d is None or e is None else one(e, bytes(d)) for e, d in zip(exts, contents)], dtype=object)
 
     kind = F.regexp_replace(F.lower(ext), r"^\.", "")
-    packed = kind.isin("docx", "odt", "doc")
-    return F.when(kind.isin("eml", "msg", "mbox", "rtf"), raw).when(packed, inside(F.when(packed, kind), F.when(packed, content)))
+    packed = kind.isin("docx", "odt", "doc", "msg")
+    return F.when(kind.isin("eml", "mbox", "rtf"), raw).when(packed, inside(F.when(packed, kind), F.when(packed, content)))

@@ -4,8 +4,8 @@ DOCUMENTS = tuple("txt md log rtf html htm xhtml shtml xml csv yaml yml cfg conf
 CODE = tuple("js ts sql py php java cpp c json go rs rb cs swift kt scala".split())
 #: Types whose text is extracted first.
 BINARY = frozenset("msg doc docx odt rtf pdf eml mbox".split())
-#: Types of which the candidate test reads a capped part only.
-HEAVY = frozenset("pdf docx odt msg eml mbox".split())
+#: Types whose raw bytes need not show a word that their text has, so the first test passes them over.
+HEAVY = frozenset("pdf doc docx odt msg eml mbox".split())
 #: Wider lists, for asking what a name is; searches go by those above.
 KNOWN_DOCUMENTS = frozenset("txt md html xml csv yaml yml eml mbox msg pdf doc docx xls xlsx ppt pptx odt ods odp rtf log cfg conf ini sh bat".split())
 KNOWN_CODE = frozenset("js ts sql py php java cpp c json go rs rb cs swift kt scala clj h hpp cc cxx pl r m mm".split())
