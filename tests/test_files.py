@@ -156,5 +156,5 @@ def test_search_over_all_types(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     rows = {r["path"].rpartition("/")[2]: r for r in search(spark, SearchQuery(("alpha",), start=str(tmp_path), types=tuple({n.split(".")[1] for n in FILES}))).collect()}
     assert set(rows) == {"a.eml", "b.eml", "e.docx", "f.odt", "i.rtf", "j.doc", "m.msg", "n.msg"}
-    assert rows["a.eml"]["email_subject"] == "Hello there" and rows["a.eml"]["email_date"].startswith("Mon, 1 Jan") and rows["e.docx"]["email_date"] is None
+    assert rows["a.eml"]["email_subject"] == "Hello there" and rows["a.eml"]["email_date"].startswith("Mon, 01 Jan") and rows["e.docx"]["email_date"] is None
     assert rows["a.eml"]["size"] == len(FILES["a.eml"][0]) and rows["i.rtf"]["clean_content"] == "alpha beta"
