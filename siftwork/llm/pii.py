@@ -1,12 +1,17 @@
-"""Personal data: fixed patterns, and contexts learned from what they find.
+"""Personal data: fixed patterns, and patterns learned from what they find.
 
 Everything is DataFrame expressions. Fixed patterns give base spans (email, ip, card, phone). Those
-are the seeds of a bootstrap: the words next to them are lexical patterns, and identifier-like
-tokens that no fixed pattern matched are candidates. Patterns and instances form a graph; a
-pattern's confidence is the summed score of what it extracts over all occurrences of its word in the
-corpus, an instance's score is that at least one of its patterns is right, and rounds of both let
-sure instances strengthen new patterns. Candidates with a sure score become spans of the kind whose
-patterns found them.
+are the seeds of a bootstrap. What stands around a seed, and how it is written, are lexical patterns:
+the word before or after it, or the two before it, each with its outline (runs of digits and letters),
+and its exact shape if that is long. Identifier-like strings that no fixed pattern matched are
+candidates, each for the kinds whose number of digits it has. Patterns and instances form a graph.
+A pattern is as sure as the share of its kind among the known instances that it has (and one more, of no
+kind), strings of which nothing is known yet counting for neither side; an instance as sure as that one
+of its patterns is right. Each round takes the sure instances in among the known ones, so they bring
+patterns of their own. In the end sure candidates become spans of the kind that they were taken for.
+
+Identifiers without a digit are no candidates, and secrets that no kind has a place for (keys of
+letters and digits) become no spans: there is no seed that could teach them.
 
 Patterns use possessive groups, so neither very long texts nor long runs make Java's matcher recurse.
 """
@@ -17,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.llm.common import tidy, written
+from siftwork.llm.common import forget, tidy, unused, written
 
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = (
@@ -26,11 +31,14 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-#: Identifier-like tokens: ASCII, with a digit, at least MIN_LENGTH long.
-CANDIDATE = r"(?<![0-9A-Za-z@._%+-])(?=[A-Za-z@._%+-]*+[0-9])[0-9A-Za-z@._%+-]*[0-9A-Za-z]"
-MIN_LENGTH = 5
-#: Seeds a pattern needs, rounds, and what makes a score sure.
-MIN_SEEDS, ROUNDS, SURE = 3, 3, 0.8
+#: Identifier-like strings: groups of digits that single spaces, brackets, hyphens or dots join, or ASCII tokens with a digit.
+CANDIDATE = r"(?<![0-9A-Za-z@._%+-])(?:\(?[0-9]++(?:[\x20().-]{1,2}+[0-9]++)*+(?![0-9A-Za-z@_])|(?=[A-Za-z@._%+-]*+[0-9])[0-9A-Za-z@._%+-]*[0-9A-Za-z])"
+#: What a candidate must look like to be taken for a kind.
+FITS = (r"^[^@]+@[^@]+$", r"^[0-9]{1,3}([-_ ][0-9]{1,3}){3}$", r"^[0-9]([ -]?[0-9]){11,18}$", r"^\(?[0-9]([ ().-]{0,2}[0-9]){8,14}$")
+#: Known instances that a pattern needs, rounds, what makes an instance sure, and the length from which a shape is a pattern.
+MIN_SEEDS, ROUNDS, SURE, LONG_SHAPE = 3, 3, 0.8, 10
+#: Characters before and after a match in which its neighbours are looked for.
+CONTEXT = 80
 _GAP = r"[\s\p{Punct}]"
 _WORD = r"[^\s\p{Punct}]"
 _CAND = len(KINDS)
@@ -47,7 +55,7 @@ def _valid(kind: Column, m: Column) -> Column:
         F.lit(0),
         lambda s, i: s + F.when(i % 2 == 0, back.substr(i + 1, F.lit(1)).try_cast("int")).otherwise(F.get(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), back.substr(i + 1, F.lit(1)).try_cast("int"))),
     )
-    return F.when(kind == 0, True).when(kind == 1, ip).when(kind == 2, F.when(F.length(digits).between(12, 19), luhn % 10 == 0).otherwise(False)).when(kind == 3, F.length(digits).between(9, 15)).otherwise(F.length(m) >= MIN_LENGTH)
+    return F.when(kind == 0, True).when(kind == 1, ip).when(kind == 2, F.when(F.length(digits).between(12, 19), luhn % 10 == 0).otherwise(False)).when(kind == 3, F.length(digits).between(9, 15)).otherwise(F.exists(F.array(*(F.lit(p) for p in FITS)), lambda p: F.rlike(m, p)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -56,9 +64,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """Matches that count: doc_id, h (of the text), kind, start, end (code points), match, left, right words.
+    """Matches that count: doc_id, h (of the text), kind, start, end (code points), match, left (two words), right.
 
-    kind is an index into KINDS, or len(KINDS) for identifier-like tokens. Rows with equal doc_id and
+    kind is an index into KINDS, or len(KINDS) for identifier-like strings. Rows with equal doc_id and
     text give their matches once.
     """
     t = _keyed(docs)
@@ -74,7 +82,7 @@ def matches(docs: DataFrame) -> DataFrame:
     rows = t.where(digit | F.col("text").contains("@")).withColumn("x", F.explode(every)).where(F.size("x.m") > 0).select("doc_id", "h", "text", "x.*")
     gaps = F.transform(
         F.split("text", F.col("pattern"), -1),
-        lambda g: F.struct(F.length(g).alias("n"), F.lower(F.regexp_extract(g, f"({_WORD}++){_GAP}*+$", 1)).alias("last"), F.lower(F.regexp_extract(g, f"^{_GAP}*+({_WORD}++)", 1)).alias("first")),
+        lambda g: F.struct(F.length(g).alias("n"), F.lower(F.regexp_extract(F.right(g, F.lit(CONTEXT)), f"((?:{_WORD}++{_GAP}++)?{_WORD}++){_GAP}*+$", 1)).alias("last"), F.lower(F.regexp_extract(F.left(g, F.lit(CONTEXT)), f"^{_GAP}*+({_WORD}++)", 1)).alias("first")),
     )
     rows = rows.select("doc_id", "h", "kind", "m", gaps.alias("g"))
     each = F.transform("m", lambda m, i: F.struct(i.alias("i"), m.alias("match"), F.get("g", i)["n"].alias("n"), F.get("g", i)["last"].alias("left"), F.get("g", i + 1)["first"].alias("right")))
@@ -84,50 +92,71 @@ def matches(docs: DataFrame) -> DataFrame:
     return rows.withColumn("start", start).where(_valid(F.col("kind"), F.col("match"))).select("doc_id", "h", "kind", "start", (F.col("start") + F.length("match")).alias("end"), "match", "left", "right")
 
 
-def discovered(docs: DataFrame, found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, h, kind, start, end) of candidates in found that the bootstrap is sure of."""
-    base, cand = found.where(F.col("kind") < _CAND), found.where(F.col("kind") == _CAND)
-    b = base.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-    cand = written(cand.join(b, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("start") < F.col("e2")) & (F.col("s2") < F.col("end")), "left_anti"), "candidates")
-
-    def edges(df: DataFrame, *more: str) -> DataFrame:
-        sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("word")), F.struct(F.lit("right").alias("side"), F.col("right").alias("word")))).alias("x")
-        return df.select(sides, F.lower("match").alias("instance"), *more).where("x.word <> ''").groupBy("x.side", "x.word", "instance", *more).agg(F.count("*").alias("n"))
-
-    seeds = edges(base, "kind")
-    patterns = seeds.groupBy("kind", "side", "word").agg(F.sum("n").alias("hits"), F.count("*").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    words = _keyed(docs).select(F.explode(F.split(F.lower("text"), f"{_GAP}+")).alias("word")).groupBy("word").agg(F.count("*").alias("all"))
-    patterns = written(patterns.join(words, "word"), "patterns")
-    graph = written(edges(cand), "graph")
-    score = None
+def _apart(found: DataFrame) -> DataFrame:
+    """found without the candidates that overlap a match of a fixed pattern."""
+    base = F.col("kind") < _CAND
+    own = W.partitionBy("doc_id", "h").orderBy("start", "end")
+    before = F.max(F.when(base, F.col("end"))).over(own.rowsBetween(W.unboundedPreceding, -1))
+    back = W.partitionBy("doc_id", "h").orderBy(F.desc("start"), F.desc("end"))
+    after = F.min(F.when(base, F.col("start"))).over(back.rowsBetween(W.unboundedPreceding, -1))
+    rows = found.withColumn("before", before).withColumn("after", after)
+    return rows.where(base | ((F.coalesce("before", F.lit(0)) <= F.col("start")) & (F.coalesce("after", F.col("end")) >= F.col("end")))).drop("before", "after")
+
+
+def _patterns(match: Column, left: Column, right: Column) -> Column:
+    """The lexical patterns of an occurrence."""
+    bare = F.regexp_replace(match, r"^\+[0-9]{1,3}[ .-]?", "")
+    shape = F.regexp_replace(F.regexp_replace(bare, "[0-9]", "9"), "[A-Za-z]", "a")
+    outline = F.regexp_replace(F.regexp_replace(shape, "9+", "9"), "a+", "a")
+    last = F.regexp_extract(left, f"({_WORD}++)$", 1)
+    words = ((F.lit("l"), last), (F.lit("ll"), F.when(last != left, left)), (F.lit("r"), right))
+    return F.array_compact(F.array(F.when(F.length(shape) >= LONG_SHAPE, F.concat(F.lit("s\t"), shape)), *(F.when(w != "", F.concat_ws("\t", side, w, outline)) for side, w in words)))
+
+
+def _fits(match: Column) -> Column:
+    """The kinds that a candidate may be of."""
+    return F.array_compact(F.array(*(F.when(match.rlike(p), F.lit(k)) for k, p in enumerate(FITS))))
+
+
+def discovered(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(doc_id, h, kind, start, end) of candidates in found, the result of matches(), that the bootstrap is sure of."""
+    own = _apart(found)
+    edges = own.select("kind", F.lower("match").alias("instance"), F.explode(_patterns(F.col("match"), F.col("left"), F.col("right"))).alias("pattern"), _fits(F.col("match")).alias("fits")).distinct()
+    edges = written(edges, "patterns")
+    seeds = edges.where(F.col("kind") < _CAND).select("pattern", "kind", "instance")
+    graph = edges.where(F.col("kind") == _CAND).select("pattern", "instance", "fits")
+    known, sure = seeds, None
     for _ in range(rounds):
-        held = patterns
-        if score is None:
-            held = held.withColumn("extra", F.lit(0.0))
-        else:
-            extra = graph.join(score, "instance").groupBy("kind", "side", "word").agg(F.sum(F.col("n") * F.col("score")).alias("extra"))
-            held = held.join(extra, ["kind", "side", "word"], "left").fillna(0.0, ["extra"])
-        held = held.select("kind", "side", "word", F.least((F.col("hits") + F.col("extra")) / (F.col("all") + 1), F.lit(0.999)).alias("confidence"))
-        score = written(graph.join(held, ["side", "word"]).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score")), "scores")
-    best = score.groupBy("instance").agg(F.max(F.struct("score", -F.col("kind"))).alias("b")).where(F.col("b.score") >= SURE).select("instance", (-F.col("b.col2")).alias("kind"))
-    return cand.withColumn("instance", F.lower("match")).drop("kind").join(best, "instance").select("doc_id", "h", "kind", "start", "end")
+        counts = known.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
+        every = counts.groupBy("pattern").agg(F.sum("n").alias("of"), F.max(F.struct("n", "kind")).alias("best")).where(F.col("best.n") >= MIN_SEEDS)
+        confidence = every.select("pattern", F.col("best.kind").alias("kind"), (F.col("best.n") / (F.col("of") + 1)).alias("confidence"))
+        scored = graph.join(confidence, "pattern").where(F.array_contains("fits", F.col("kind"))).groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+        best = scored.groupBy("instance").agg(F.max(F.struct("score", -F.col("kind"))).alias("b")).where(F.col("b.score") >= SURE)
+        before, sure = sure, written(best.select("instance", (-F.col("b.col2")).alias("kind")), "instances")
+        known = seeds.union(graph.join(sure, "instance").select("pattern", "kind", "instance"))
+        forget(before)
+    forget(edges)
+    return own.where(F.col("kind") == _CAND).withColumn("instance", F.lower("match")).drop("kind").join(sure, "instance").select("doc_id", "h", "kind", "start", "end")
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, h, base and spans (arrays of start, kind, end; kind an index into KINDS).
+    """Per row of docs: doc_id, h, base and spans (arrays of start, kind, end, before; kind an index into KINDS).
 
     Positions are code points, end exclusive, in the whole text (null: empty); both arrays are sorted by
     start, then kind, and empty where there is nothing. base has the matches of the fixed patterns that
-    count, spans those and what the bootstrap adds. Repeated rows get equal results; with no seeds, or an
-    empty table, the bootstrap adds nothing.
+    count, spans those and what the bootstrap adds; before is the furthest end of the spans before it.
+    Repeated rows get equal results; with no seeds, or an empty table, the bootstrap adds nothing. Other
+    columns of docs play no part.
     """
     found = written(matches(docs), "matches")
     tidy(docs.sparkSession)
-    added = discovered(docs, found)
+    added = discovered(found)
     both = found.where(F.col("kind") < _CAND).select("doc_id", "h", "kind", "start", "end", F.lit(True).alias("base")).union(added.select("doc_id", "h", "kind", "start", "end", F.lit(False)))
-    one = F.struct(F.col("start").cast("long").alias("start"), F.col("kind").cast("int").alias("kind"), F.col("end").cast("long").alias("end"))
+    order = W.partitionBy("doc_id", "h").orderBy("start", "kind", "end").rowsBetween(W.unboundedPreceding, -1)
+    both = both.withColumn("before", F.coalesce(F.max("end").over(order), F.lit(0)))
+    one = F.struct(*(F.col(c).cast(t).alias(c) for c, t in (("start", "long"), ("kind", "int"), ("end", "long"), ("before", "long"))))
     by = both.groupBy(F.col("doc_id").alias("d2"), F.col("h").alias("h2")).agg(F.array_sort(F.collect_list(F.when(F.col("base"), one))).alias("base"), F.array_sort(F.collect_list(one)).alias("spans"))
-    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
+    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,before:bigint>>")
     return _keyed(docs).select("doc_id", "h").join(by, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")), "left").select("doc_id", "h", F.coalesce("base", empty).alias("base"), F.coalesce("spans", empty).alias("spans"))
 
 
@@ -140,22 +169,20 @@ def spelled(spans: Column) -> Column:
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each span of its text replaced by [KIND]; spans that overlap an earlier one go with it.
 
-    Null texts stay null; n_chars, where docs has it, is the new text's. Other columns are kept as they are.
+    Null texts stay null; n_chars, where docs has it, is the new text's. Other columns are kept as they
+    are, whatever their names. Repeated rows get equal texts; an empty table gives an empty result.
     """
-    data = personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("pii_doc"), F.col("h").alias("pii_h"), "spans").distinct()
-    t = docs.withColumn("pii_key", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    t = t.join(data.withColumnRenamed("spans", "pii_spans"), F.col("doc_id").cast("long").eqNullSafe(F.col("pii_doc")) & (F.col("pii_key") == F.col("pii_h")), "left")
+    key, of, h, spans = (unused(f"pii_{x}", docs) for x in ("key", "doc", "h", "spans"))
+    data = personal_data(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(of), F.col("h").alias(h), F.col("spans").alias(spans)).distinct()
+    t = docs.withColumn(key, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    t = t.join(data, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(key) == F.col(h)), "left")
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    ends = F.transform(F.col("pii_spans"), lambda s, i: F.coalesce(F.array_max(F.transform(F.slice("pii_spans", 1, i), lambda x: x["end"])), F.lit(0)))
-    parts = F.transform(
-        F.arrays_zip(F.col("pii_spans").alias("s"), ends.alias("e")),
-        lambda z: F.when(z["s"]["start"] >= z["e"], F.concat(F.col("text").substr((z["e"] + 1).cast("int"), (z["s"]["start"] - z["e"]).cast("int")), F.get(names, z["s"]["kind"]))).otherwise(F.lit("")),
-    )
-    last = F.array_max(F.transform("pii_spans", lambda s: s["end"]))
-    text = F.when(F.col("pii_spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), F.col("text").substr((last + 1).cast("int"), F.length("text"))))
+    parts = F.transform(spans, lambda s: F.when(s["start"] >= s["before"], F.concat(F.col("text").substr((s["before"] + 1).cast("int"), (s["start"] - s["before"]).cast("int")), F.get(names, s["kind"]))).otherwise(F.lit("")))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    text = F.when(F.col(spans).isNull(), F.col("text")).otherwise(F.concat(F.array_join(parts, ""), F.col("text").substr((last + 1).cast("int"), F.length("text"))))
     out = t.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("pii_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)
 
 
