@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from siftwork.llm.blocks import Blocks, blocked, count_blocks, one_block, write_by_block
 from siftwork.llm.common import LOWER, SPACED, chunks, crc32_mod, digests, forget, owners, packed, tidy, words, written
 
-DEPTH = 6
+DEPTH = 5
 LEAST, GAIN = 2, 6.0
 SYMBOLS = 257
 I64, U64 = np.int64, np.uint64
@@ -130,7 +130,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if size > _HELD:
                 held[:] = merged()
                 size = len(held[0][0])
-                if size > _HELD // 2:
+                if size > _HELD:
                     yield from flush()
                     size = 0
     yield from flush()
