@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
@@ -56,6 +57,15 @@ def forget(*tables: DataFrame | str) -> None:
             fs.delete_dir(name)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Deletes all tables of these operators in the shared folder; for when no result of theirs is read any more."""
+    path = shared_dir(spark)
+    fs, root = pa.fs.FileSystem.from_uri(path) if "://" in path else (pa.fs.LocalFileSystem(), path)
+    for found in fs.get_file_info(pa.fs.FileSelector(root, allow_not_found=True)):
+        if found.base_name.startswith("siftwork-") and not found.is_file:
+            fs.delete_dir(found.path)
+
+
 def tidy(spark: SparkSession) -> None:
     """Lets Spark drop shuffle files of finished stages now, not when the driver next collects garbage."""
     import gc
@@ -106,6 +116,30 @@ def packed(data: np.ndarray, start: np.ndarray, end: np.ndarray, kept: np.ndarra
     return (data[kept[data]] if len(data) else data), offsets
 
 
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word [start, end) of data.
+
+    A word of up to 16 bytes is two numbers and a length, which are mixed as they are; longer ones are
+    digested (XXH3). No sum or product runs along a word.
+    """
+    size = end - start
+    lanes = np.ndarray(len(data) + 16, "<u8", np.concatenate((data, np.zeros(24, np.uint8))), 0, (1,))
+    low = lanes[start] & _LOW_BYTES[np.minimum(size, 8)]
+    high = lanes[start + 8 * (size > 8)] & _LOW_BYTES[np.clip(size - 8, 0, 8)]
+    out = []
+    with np.errstate(over="ignore"):
+        for a, b in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0x165667B19E3779F9, 0xD6E8FEB86659FD93)):
+            out.append(mix(mix(low ^ U64(a)) * U64(b) + mix(high + U64(b)) + size.astype(U64)))
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        each = b"".join(xxhash.xxh3_128_digest(data[i:j].tobytes()) for i, j in zip(start[long], end[long]))
+        out[0][long], out[1][long] = np.frombuffer(each, U64).reshape(-1, 2).T
+    return out[0], out[1]
+
+
 def joined_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Hash of what a stands for followed by what b stands for."""
     with np.errstate(over="ignore"):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.blocks import blocked, count_blocks, one_block, write_by_block
-from siftwork.llm.common import ALNUM, LOWER, chunks, digests, owners, packed, tidy, windows, words
+from siftwork.llm.common import ALNUM, LOWER, chunks, owners, tidy, windows, word_hashes, words
 
 WINDOW = 10
 GRAM = 5
@@ -39,10 +39,10 @@ def _least(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _spelled(data, offsets):
-    """Bounds of each text's words, each word's text, and both halves of the words' digests."""
+    """Bounds of each text's words, each word's text, and both hashes of the words."""
     data = LOWER[data]
     start, end, bounds = words(data, offsets, ALNUM)
-    return bounds, owners(bounds), *digests(*packed(data, start, end, ALNUM))
+    return bounds, owners(bounds), *word_hashes(data, start, end)
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

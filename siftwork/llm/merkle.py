@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import CHUNK, SPACED, digests, owners, packed, text_bytes, words
+from siftwork.llm.common import CHUNK, SPACED, digests, owners, text_bytes, word_hashes, words
 
 #: Node hashes that a fingerprint keeps of sections, paragraphs and phrases.
 KEPT = (8, 16, 64)
@@ -76,7 +76,7 @@ def trees(texts: list[str]) -> Trees:
     begins = np.zeros(len(data) + 1, bool)
     begins[offsets] = True
     begins[np.flatnonzero(data == 10) + 1] = True
-    h, _ = digests(*packed(data, start, end, SPACED))
+    h, _ = word_hashes(data, start, end)
     after = np.flatnonzero((h[:-1] % np.uint64(3) == 0) & (own[1:] == own[:-1])) + 1
     cut[start[after]] = True
     cut |= begins

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.llm.common import LOWER, SPACED, chunks, digests, forget, mix, packed, text_bytes, tidy, windows, words, written
+from siftwork.llm.common import LOWER, SPACED, chunks, forget, mix, text_bytes, tidy, windows, word_hashes, words, written
 from siftwork.llm.components import components
 
 SAMPLES = 256
@@ -73,7 +73,7 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndar
     """Hashes of the shingles of all texts, repeats included, and the bounds of each text's part."""
     data = LOWER[data]
     start, end, bounds = words(data, offsets, SPACED)
-    h, _ = digests(*packed(data, start, end, SPACED))
+    h, _ = word_hashes(data, start, end)
     count = np.diff(bounds)
     runs = windows(h, size, _SEED)
     n = np.where((count > 0) & (count < size), 1, np.maximum(count - size + 1, 0))

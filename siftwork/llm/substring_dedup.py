@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwork.llm.blocks import Blocks, ByBlock, blocked, count_blocks, one_block, write_by_block
-from siftwork.llm.common import SPACED, chunks, digests, forget, owners, packed, tidy, windows, words
+from siftwork.llm.common import SPACED, chunks, forget, owners, tidy, windows, word_hashes, words
 
 #: Perfect difference sets: modulus and residues.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
@@ -36,13 +36,13 @@ def cover(window: int) -> tuple[int, tuple[int, ...]]:
 
 
 def _anchored(data, offsets, window):
-    """Word bounds, owners, places, digests by half, anchors' hashes (hash i is of the anchor at word i) and flags."""
+    """Word bounds, owners, places, both hashes of the words, anchors' hashes (hash i is of the anchor at word i) and flags."""
     v, residues = cover(window)
     size = window - v + 1
     start, end, bounds = words(data, offsets, SPACED)
     own = owners(bounds)
     place = np.arange(len(start)) - bounds[:-1][own]
-    h, g = digests(*packed(data, start, end, SPACED))
+    h, g = word_hashes(data, start, end)
     runs = windows(h, size, _ANCHOR).view(I64)
     flag = np.isin(np.arange(v), residues)[place % v] & (place + size <= np.diff(bounds)[own])
     return bounds, own, place, h, g, runs, flag
@@ -136,7 +136,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, table: ByBlock) ->
             gone = np.zeros(len(start) + 1, I64)
             if len(k1) and len(start) >= window:
                 ids, valid = _ids(part)
-                h, g = digests(*packed(data, start, end, SPACED))
+                h, g = word_hashes(data, start, end)
                 h1 = windows(h, window, _SEED1).view(I64)
                 at = np.minimum(np.searchsorted(k1, h1), len(k1) - 1)
                 place = np.arange(len(h1)) - bounds[:-1][own[: len(h1)]]

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwork.llm.blocks import Blocks, blocked, count_blocks, one_block, write_by_block
-from siftwork.llm.common import LOWER, SPACED, chunks, crc32_mod, digests, forget, owners, packed, tidy, words, written
+from siftwork.llm.common import LOWER, SPACED, chunks, crc32_mod, forget, owners, tidy, word_hashes, words, written
 
 DEPTH = 5
 LEAST, GAIN = 2, 6.0
@@ -36,7 +36,7 @@ I64, U64 = np.int64, np.uint64
 END_KEY = I64(0x0E0D)
 _HELD = 3_000_000
 _GROUP = 400_000
-_SLOT_BITS = 21
+_SLOT_BITS = 22
 
 
 def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,23 +46,24 @@ def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray, bounds: np.nda
     share a context stand together when sorted.
     """
     n_docs = len(bounds) - 1
-    size = end - start + 1
-    to = np.concatenate(([0], np.cumsum(size)))
+    size = end - start
+    to = np.zeros(len(start) + 1, I64)
+    np.cumsum(size + 1, out=to[1:])
     pad = DEPTH * (owners(bounds) + 1) + owners(bounds)
     begin = to[:-1] + pad
     length = to[-1] + n_docs * (DEPTH + 1)
-    out = np.full(length, 10, np.uint8)
-    shift = np.repeat(start - begin, size)
-    at = np.arange(to[-1]) + np.repeat(pad, size)
-    out[at] = data[np.minimum(at + shift, max(len(data) - 1, 0))]
-    out[begin + size - 1] = 0x20
-    wide = out.astype(U64)
-    code = wide[DEPTH:].copy()
-    for k in range(1, DEPTH + 1):
-        code |= wide[DEPTH - k : length - k] << U64(8 * (DEPTH + 1 - k))
+    out = np.full(length + 7 - DEPTH, 10, np.uint8)
+    symbols = out[7 - DEPTH :]
+    shift = (begin - (to[:-1] - np.arange(len(start)))).astype(np.int32)
+    symbols[np.arange(size.sum(), dtype=np.int32) + np.repeat(shift, size)] = data[SPACED[data]]
+    symbols[begin + size] = 0x20
+    # eight bytes up to each symbol as one number, the symbol highest and the farthest byte lowest
+    wide = np.ndarray(length - DEPTH, "<u8", out, 0, (1,)).copy()
+    code = (((wide << U64(8)) >> U64(8 * (8 - DEPTH))) << U64(8)) | (wide >> U64(56))
     n_symbols = to[bounds[1:]] - to[bounds[:-1]] + 1
     first = np.concatenate(([0], np.cumsum(n_symbols)))
-    real = np.arange(first[-1]) + np.repeat(np.arange(n_docs) * DEPTH, n_symbols)
+    real = np.ones(length - DEPTH, bool)
+    real[((first[1:-1] + DEPTH * np.arange(n_docs - 1))[:, None] + np.arange(DEPTH)).ravel()] = False
     return code[real], first
 
 
@@ -72,11 +73,11 @@ def _read(data, offsets):
 
 
 def _keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return digests(*packed(data, start, end, SPACED))[0].view(I64)
+    return word_hashes(data, start, end)[0].view(I64)
 
 
 def _grouped(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, n = key[order], n[order]
     at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, I64)
     return key[at], np.add.reduceat(n, at) if len(at) else n
@@ -110,7 +111,7 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size, now = [], 0, None
 
     def merged() -> list:
-        return [_grouped(*(np.concatenate(x) for x in zip(*held)))] if len(held) > 1 else held
+        return [_grouped(*(np.concatenate(x) for x in zip(*held)))] if held else held
 
     def flush():
         for key, n in merged():
@@ -124,8 +125,10 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks([batch]):
             data, start, end, bounds = _read(data, offsets)
             code, first = spelled(data, start, end, bounds)
-            learn = np.repeat(part.column(2).to_numpy(zero_copy_only=False), np.diff(first)).astype(I64)
-            held.append(_grouped(code.view(I64), learn))
+            learn = np.repeat(part.column(2).to_numpy(zero_copy_only=False), np.diff(first))
+            taught, n = np.unique(code[learn].view(I64), return_counts=True)
+            others = np.unique(code[~learn].view(I64))
+            held.append((np.concatenate((taught, others)), np.concatenate((n, np.zeros(len(others), I64)))))
             size += len(held[-1][0])
             if size > _HELD:
                 held[:] = merged()
