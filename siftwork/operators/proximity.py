@@ -1,20 +1,25 @@
 """Terms within a distance of each other.
 
-Places are byte offsets of whole words in the lower-cased text. A text's places are rows, so they are
-sorted and spilled like any others however many there are. Over them, in order, a running maximum by
-term tells the last place of each; the least of these is where the narrowest span that ends here
-begins. One exchange by document does it all, with no frame that is summed anew for every row.
+Places are byte offsets of whole words in the lower-cased text. For terms that are single ASCII words a
+fold over a text's words does it all: it keeps the last place of each term, whose least is where the
+narrowest span that ends here begins. That is one expression, so a search is one scan without an
+exchange.
+
+Other terms may overlap (`new york`, `york times`) or begin inside a word of another alphabet. Their places
+are rows, which are sorted and spilled like any others, and running maxima by term take the fold's
+part: one exchange by document, of documents that have all terms.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.functions.patterns import lower_word, sql_word
+from siftwork.functions.patterns import FORMS, SMART_FORMS, B, lower_word, sql_word
 
 
 def occurrences(docs: DataFrame, key: str, text: str, terms: list[str], smart: bool = False) -> DataFrame:
@@ -41,24 +46,66 @@ def spans(places: DataFrame, key: str, k: int) -> DataFrame:
     return rows.select(key, (F.least(*(f"_t{i}" for i in range(k))) if k > 1 else F.col("_t0")).alias("left"), "right")
 
 
+def simple(terms: list[str]) -> bool:
+    """Whether all terms are single words of ASCII word characters, of which no two can overlap."""
+    return bool(terms) and all(re.fullmatch("[0-9A-Za-z_]+", t.strip()) for t in terms)
+
+
+def span_column(text: Column, terms: list[str], smart: bool = False) -> Column:
+    """(span, left, right) of the narrowest span with all terms, the leftmost of equal ones; null without one.
+
+    For simple() terms. One pass over the words that are a form of any term.
+    """
+    base = [t.strip().lower() for t in terms]
+    endings = ["", *(SMART_FORMS if smart else FORMS)[3:-2].split("|")]
+    pattern = F.lit(f"{B}(?:{'|'.join(dict.fromkeys(base))}){SMART_FORMS if smart else FORMS}{B}")
+    none = F.lit(None).cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("at"), *(none.alias(f"t{i}") for i in range(len(base))), none.alias("span"), none.alias("left"), none.alias("right"))
+
+    def step(a: Column, x: Column) -> Column:
+        here = a["at"] + x["gap"]
+        last = [F.when(x["word"].isin([t + e for e in endings]), here).otherwise(a[f"t{i}"]) for i, t in enumerate(base)]
+        whole = reduce(lambda p, q: p & q, (t.isNotNull() for t in last))
+        left = F.least(*last) if len(last) > 1 else last[0]
+        better = whole & (a["span"].isNull() | (here - left < a["span"]))
+        best = [F.when(better, new).otherwise(a[name]).alias(name) for name, new in (("span", here - left), ("left", left), ("right", here))]
+        return F.when(x["word"].isNull(), a).otherwise(F.struct((here + F.octet_length(x["word"])).alias("at"), *(t.alias(f"t{i}") for i, t in enumerate(last)), *best))
+
+    def narrowest(t: Column) -> Column:
+        words = F.regexp_extract_all(t, pattern, F.lit(0))
+        steps = F.arrays_zip(words.alias("word"), F.transform(F.split(t, pattern, -1), F.octet_length).alias("gap"))
+        return F.aggregate(steps, start, step, lambda a: F.when(a["span"].isNotNull(), F.struct(a["span"].alias("span"), a["left"].alias("left"), a["right"].alias("right"))))
+
+    return F.get(F.transform(F.array(F.lower(text)), narrowest), F.lit(0))  # a variable, so that the text is computed once
+
+
 def min_span(docs: DataFrame, key: str, text: str, terms: list[str], smart: bool = False) -> DataFrame:
     """(key, left, right, span) of the narrowest span with all terms, the leftmost of equal ones; only rows that have all."""
+    if simple(terms):
+        found = docs.where(_has_all(text, terms, smart)).select(key, span_column(F.col(text), terms, smart).alias("_b"))
+        return found.where("_b is not null").select(key, "_b.left", "_b.right", "_b.span")
     each = spans(occurrences(docs, key, text, terms, smart), key, len(terms))
     best = F.min(F.struct((F.col("right") - F.col("left")).alias("span"), F.col("left"), F.col("right")))
     return each.groupBy(key).agg(best.alias("b")).select(key, "b.left", "b.right", "b.span")
 
 
+def _has_all(text: str, terms: list[str], smart: bool) -> Column:
+    """Whether the lower-cased text has all terms; longer ones, which are likely rarer, are looked for first."""
+    lower = F.lower(F.col(text))
+    return reduce(lambda a, b: a & b, (lower.rlike(lower_word(t, smart)) for t in sorted(terms, key=len, reverse=True)))
+
+
 def within(docs: DataFrame, key: str, text: str, terms: list[str], distance: int, smart: bool = False) -> DataFrame:
     """The rows of docs whose text has all terms within distance bytes, from start to start, in any order.
 
-    No terms match all rows; of one term presence is enough. Rows without all terms are dropped before
-    any place is looked for.
+    No terms match all rows; of one term presence is enough. Rows without all terms are best dropped
+    before, by the raw text if text is one cleaned; where rows are exchanged, they are. key must tell rows apart, unless the terms are simple() ones.
     """
     if not terms:
         return docs
-    lower = F.lower(F.col(text))
-    longest = sorted(terms, key=len, reverse=True)
-    some = docs.where(reduce(lambda a, b: a & b, (lower.rlike(lower_word(t, smart)) for t in longest)))
+    if len(terms) > 1 and simple(terms):
+        return docs.where(span_column(F.col(text), terms, smart)["span"] <= distance)
+    some = docs.where(_has_all(text, terms, smart))
     if len(terms) == 1:
         return some
     return some.join(min_span(some, key, text, terms, smart).where(F.col("span") <= distance).select(key), key, "left_semi")

@@ -196,7 +196,7 @@ def _proximity(terms: list[str], distance: int, smart: bool = False) -> Query:
     return run
 
 
-for _name, _args in {"proximity_1": (["with"], 0), "proximity_2": (TWO, DISTANCE), "proximity_3": (THREE, 100), "proximity_smart": (["th", "er"], 300, True)}.items():
+for _name, _args in {"proximity_1": (["with"], 0), "proximity_2": (TWO, DISTANCE), "proximity_3": (THREE, 100), "proximity_smart": (["th", "er"], 300, True), "proximity_phrase": (["of the", "the"], 40), "proximity_other_alphabet": (["für", "die"], 300)}.items():
     _QUERIES[_name], _ORACLES[_name] = _proximity(*_args), _within(*_args)
 
 

@@ -72,7 +72,7 @@ def test_proximity_against_brute_force(spark):
     rng = random.Random(5)
     texts = [None, "", "b a", "a é b", "a" + "x" * 0 + " b"] + ["".join(rng.choice(["a ", "b ", "c ", "as ", "é", " ", "x", "B,", "ab "]) for _ in range(rng.randrange(30))) for _ in range(300)]
     docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
-    for terms, distance in ((["a", "b"], 3), (["a", "b"], 4), (["a", "b", "c"], 9), (["a", "a"], 0), (["c"], 0), ([], 0)):
+    for terms, distance in ((["a", "b"], 3), (["a", "b"], 4), (["a", "b", "c"], 9), (["a", "a"], 0), (["a b", "b"], 5), (["é", "a"], 6), (["c"], 0), ([], 0)):
         got = {r["id"] for r in proximity.within(docs, "id", "t", terms, distance).collect()}
         assert got == {i for i, t in enumerate(texts) if (not terms) or (t is not None and near(t, terms, distance))}
 
