@@ -7,6 +7,7 @@ import public_tokenizers
 import tiktoken
 
 from siftwork.llm import bpe
+from tests.llm import cases
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,11 @@ def test_columns_and_empty_tables(spark):
     (row,) = bpe.encoded(docs).collect()
     assert row["pieces"] == "x" and row["doc_id"] is None and len(row["tokens"]) == 2
     assert bpe.encoded(docs.limit(0)).collect() == []
+
+
+def test_odd_documents(spark):
+    encode, docs = library().encode_ordinary, cases.documents(spark)
+    rows = bpe.encoded(docs).collect()
+    assert len(rows) == len(cases.ROWS)
+    assert sorted((repr(r["doc_id"]), r["tokens"]) for r in rows) == sorted((repr(r[0]), encode(r[1] or "")) for r in cases.ROWS)
+    assert bpe.encoded(docs).columns == [*docs.columns, "tokens", "n_tokens", "decoded"]
