@@ -1,7 +1,10 @@
 """The corpus pipeline: documents in, documents fit for training out, with their tokens.
 
 Each stage of STAGES takes (spark, documents, sf_dir) and gives documents with the columns it got,
-the last one with tokens, n_tokens and round_trip (whether the tokens decode to the text) besides. doc_id is taken to be there and unique.
+the last one with tokens, n_tokens and round_trip (whether the tokens decode to the text) besides.
+Rows without doc_id are near copies of nothing and stay unless their text is bad; of rows that repeat
+a doc_id all go or none. Other columns are kept as they are, whatever their names; empty tables give
+empty results.
 There is no ORACLE_SQL: quality and personal data are learned, which SQL doesn't express.
 """
 
@@ -11,15 +14,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.llm import bpe, decontaminate, near_dedup, pii, quality
-from siftwork.llm.common import written
+from siftwork.llm.common import unused, written
 
 ORACLE_SQL = None
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs without those whose doc_id is in dropped; columns keep their order."""
-    gone = dropped.where("doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("dropped_id"), "left_anti")
+    name = unused("dropped_id", docs)
+    gone = dropped.where("doc_id is not null").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
