@@ -34,16 +34,41 @@ def forms(smart: bool) -> str:
     return SMART_FORMS if smart else FORMS
 
 
+def _spelled(text: str) -> str:
+    """A pattern for text in any case: classes for ASCII letters, with what folds to them, flags for others."""
+    more = {"k": "\u212a", "s": "\u017f"}
+    return "".join(f"[{c.lower()}{c.upper()}{more.get(c.lower(), '')}]" if c.isascii() and c.isalpha() else quote(c) if c.isascii() else f"(?iu:{c})" for c in text)
+
+
+def _is_word(c: str) -> bool:
+    return c.isascii() and (c.isalnum() or c == "_")
+
+
+def _bounded(base: str, first: str, last: str, endings: str) -> str:
+    """A base with its endings between word boundaries.
+
+    The base comes first and is then looked back over, so that a place is left as soon as a letter differs.
+    """
+    start = f"{base}(?<![{WORD}]{base})" if _is_word(first) else f"{base}(?<=[{WORD}]{base})"
+    return f"{start}{endings}" + (f"(?![{WORD}])" if _is_word(last) else B)
+
+
 def lower_word(term: str, smart: bool = False) -> str:
     """Java pattern of a term, with its forms, in a text that is lower-cased already; blank terms match nothing."""
     base = term.strip().lower()
-    return f"{B}(?:{quote(base)}{forms(smart)}){B}" if base else NEVER
+    return _bounded(quote(base), base[0], base[-1], forms(smart)) if base else NEVER
+
+
+def any_lower_word(terms: list[str], smart: bool = False) -> str:
+    """Java pattern of any of some terms of ASCII word characters, with its forms, in a lower-cased text."""
+    return "(?:" + "|".join(f"{t}(?<![{WORD}]{t})" for t in terms) + f"){forms(smart)}(?![{WORD}])"
 
 
 def any_case_word(term: str, smart: bool = False) -> str:
     """Java (and Python) pattern of a term, with its forms, in any case."""
     base = term.strip()
-    return f"(?iu){B}(?:{quote(base)}{forms(smart)}){B}" if base else NEVER
+    endings = "(?:" + "|".join(map(_spelled, forms(smart)[3:-2].split("|"))) + ")?"
+    return _bounded(_spelled(base), base[0], base[-1], endings) if base else NEVER
 
 
 def ascii_word(term: str) -> str:

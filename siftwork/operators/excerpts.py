@@ -38,7 +38,7 @@ class Places:
     """Whole words of terms in a text, as byte ranges."""
 
     def __init__(self, text: str, terms: list[str]):
-        self.patterns = [re.compile(any_case_word(t).replace("(?iu)", "(?i)")) for t in terms if t.strip()]
+        self.patterns = [re.compile(any_case_word(t)) for t in terms if t.strip()]
         self.text, self.bytes = text, text.encode("utf-8", "surrogateescape")
         self.plain = len(self.text) == len(self.bytes)
 
@@ -214,7 +214,7 @@ def chunked(text: str, size: int) -> list[str]:
 def grown(clean: str, excerpt: str, terms: list[str], target: int = GROWN) -> str:
     """A short excerpt with neighbouring sentences, left and right in turn, until it has target bytes."""
     each = sentences(clean)
-    patterns = [re.compile(any_case_word(t).replace("(?iu)", "(?i)")) for t in terms if t.strip()]
+    patterns = [re.compile(any_case_word(t)) for t in terms if t.strip()]
     at = next((i for i, s in enumerate(each) if excerpt in s), None)
     if at is None:
         at = next((i for i, s in enumerate(each) if any(p.search(s) for p in patterns)), None)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.functions.patterns import FORMS, SMART_FORMS, B, lower_word, sql_word
+from siftwork.functions.patterns import any_lower_word, forms, lower_word, sql_word
 
 
 def occurrences(docs: DataFrame, key: str, text: str, terms: list[str], smart: bool = False) -> DataFrame:
@@ -57,8 +57,8 @@ def span_column(text: Column, terms: list[str], smart: bool = False) -> Column:
     For simple() terms. One pass over the words that are a form of any term.
     """
     base = [t.strip().lower() for t in terms]
-    endings = ["", *(SMART_FORMS if smart else FORMS)[3:-2].split("|")]
-    pattern = F.lit(f"{B}(?:{'|'.join(dict.fromkeys(base))}){SMART_FORMS if smart else FORMS}{B}")
+    endings = ["", *forms(smart)[3:-2].split("|")]
+    pattern = F.lit(any_lower_word(list(dict.fromkeys(base)), smart))
     none = F.lit(None).cast("long")
     start = F.struct(F.lit(0).cast("long").alias("at"), *(none.alias(f"t{i}") for i in range(len(base))), none.alias("span"), none.alias("left"), none.alias("right"))
 

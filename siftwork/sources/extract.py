@@ -191,7 +191,7 @@ def early_verdict(ext: Column, content: Column, size: Column, terms: list[str],
 
     some = longest_two(terms)
     raw = present(F.make_valid_utf8(F.substring(content, 1, cap).cast("string")), some, size, cap, smart)
-    patterns = [re.compile(any_case_word(t, smart).replace("(?iu)", "(?i)")) for t in some if t.strip()]
+    patterns = [re.compile(any_case_word(t, smart)) for t in some if t.strip()]
 
     @F.pandas_udf("boolean")
     def inside(exts: pd.Series, contents: pd.Series) -> pd.Series:
