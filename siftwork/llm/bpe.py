@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwork.llm.common import text_bytes, unused
+from siftwork.llm.common import small_batches, text_bytes, unused
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: (?U) has \s mean Unicode's white space, as the rank files' own splitter does.
@@ -162,7 +162,7 @@ def encoded(docs: DataFrame) -> DataFrame:
     table gives an empty result. Other columns are kept as they are, but for those named tokens, n_tokens
     or decoded, which are replaced.
     """
-    docs = docs.drop("tokens", "n_tokens", "decoded").withColumn("text", F.col("text").cast("string"))
+    docs = small_batches(docs).drop("tokens", "n_tokens", "decoded").withColumn("text", F.col("text").cast("string"))
     pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(PATTERN), F.lit(0))
     schema = T.StructType([*docs.schema.fields, T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("decoded", T.BinaryType())])
     name = unused("pieces", docs)

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Bytes of text handled at once by the batch operators; a longer text makes a chunk of its own.
 CHUNK = 1 << 20
+#: Limits of an Arrow batch.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +78,17 @@ def tidy(spark: SparkSession) -> None:
         jvm.System.gc()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering its session's limits on Arrow batches: ten thousand texts at once, in the JVM's and
+    Python's buffers of every task, are more than small executors have room for."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS_AT_ONCE), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES_AT_ONCE)):
+        now = conf.get(name, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """name, or a longer one that no column of the frames has (upper and lower case count as equal)."""
     taken = {c.lower() for df in frames for c in df.columns}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.llm.common import LOWER, chunks, crc32_mod
+from siftwork.llm.common import LOWER, chunks, crc32_mod, small_batches
 
 #: Labelled documents of each language in the fit, and how many of them are landmarks.
 SAMPLE, LANDMARKS = 500, 64
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, per_language: int = SAMPLE)
             ok = [bool(names) and t is not None and _LETTER.search(t) is not None for t in text]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([names[k] if o else "und" for k, o in zip(best, ok)], pa.string()), pa.array(np.where(ok, p, 0.0))], ["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op3_langid(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwork.llm.common import CHUNK, SPACED, digests, owners, text_bytes, word_hashes, words
+from siftwork.llm.common import CHUNK, SPACED, digests, owners, small_batches, text_bytes, word_hashes, words
 
 #: Node hashes that a fingerprint keeps of sections, paragraphs and phrases.
 KEPT = (8, 16, 64)
@@ -196,7 +196,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(trees([x or "" for x in part.column(1).to_pylist()]).text())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
 _OUT = "doc_id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -257,7 +257,7 @@ def edit_likeness(docs: DataFrame) -> DataFrame:
     gets the first row of the next one, so no task sees more than its range and no window spans the table.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []))
     anywhere = F.pmod(F.xxhash64("text"), F.lit(len(cuts) + 1)).cast("int")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.llm.common import SPACED, chunks, coded, crc32_mod, packed, words
+from siftwork.llm.common import SPACED, chunks, coded, crc32_mod, packed, small_batches, words
 
 #: Labelled documents in the fit, and lines of them; documents that would go beyond either are left out.
 SAMPLE, LINES = 5000, 300_000
@@ -253,7 +253,7 @@ def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list[np.nda
 
 def _scorer(learn_from: DataFrame, labels: DataFrame, limit: int):
     """A function from a batch of texts (bytes, offsets) to their scores."""
-    learned = sampled(learn_from.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, limit)
+    learned = sampled(small_batches(learn_from).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels, limit)
     field = fit(*learned) if len(set(learned[2].tolist())) == 2 else None
     share = float(learned[2].mean()) if len(learned[2]) else 0.5
 

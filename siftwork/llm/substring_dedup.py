@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwork.llm.blocks import Blocks, ByBlock, blocked, count_blocks, one_block, write_by_block
-from siftwork.llm.common import SPACED, chunks, forget, owners, tidy, windows, word_hashes, words
+from siftwork.llm.common import SPACED, chunks, forget, owners, small_batches, tidy, windows, word_hashes, words
 
 #: Perfect difference sets: modulus and residues.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52), 73: (0, 1, 3, 7, 15, 31, 36, 54, 63)}
@@ -172,7 +172,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     a row without doc_id neither removes nor loses words. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    texts = blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts")
+    texts = blocked(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts")
     blocks = count_blocks(texts)
     anchors = texts.mapInArrow(lambda it: _anchors(it, window), "key long, tag long")
     same = W.partitionBy("key")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from siftwork.llm.blocks import Blocks, blocked, count_blocks, one_block, write_by_block
-from siftwork.llm.common import LOWER, SPACED, chunks, crc32_mod, forget, owners, tidy, word_hashes, words, written
+from siftwork.llm.common import LOWER, SPACED, chunks, crc32_mod, forget, owners, small_batches, tidy, word_hashes, words, written
 
 DEPTH = 5
 LEAST, GAIN = 2, 6.0
@@ -262,7 +262,7 @@ def suffix_tree_scores(docs: DataFrame, learns) -> DataFrame:
     count, and are scored, each; an empty table gives an empty result. Other columns play no part.
     """
     spark = docs.sparkSession
-    texts = blocked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learns.cast("boolean"), F.lit(False)).alias("learns")), "texts")
+    texts = blocked(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(learns.cast("boolean"), F.lit(False)).alias("learns")), "texts")
     blocks = count_blocks(texts)
     by_key = W.partitionBy("key")
     found = texts.mapInArrow(_word_counts, "block int, key long, n long").withColumn("total", F.sum("n").over(by_key)).withColumn("first", F.min("block").over(by_key) == F.col("block"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.llm.common import new_path, written
+from siftwork.llm.common import new_path, small_batches, written
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Revisits that may be sent to every task (about 60 bytes each).
@@ -418,7 +418,7 @@ def archive(pages: DataFrame, least_bytes: int = 0, broadcast_revisits: int = BR
     response, others revisit it; rows that repeat that page_id are responses too, and so is a row
     without page_id. A null html is an empty payload, a null url is left out.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     named = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least_bytes)).select("page_id", F.sha1(F.col("html").cast("binary")).alias("name"))
     first = named.groupBy("name").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("lo")).where("lo < refers_to").select("name", "refers_to")
     revisits = written(named.join(first, "name").where("page_id < refers_to").select("page_id", "name", "refers_to"), "revisits")
