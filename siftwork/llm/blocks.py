@@ -20,13 +20,13 @@ from pyspark.sql import functions as F
 from siftwork.llm.common import new_path, written
 
 
-def blocked(docs: DataFrame, what: str) -> DataFrame:
-    """docs with the column block (the number of the partition that held the row), written."""
-    return written(docs.withColumn("block", F.spark_partition_id()), what)
+def blocked(docs: DataFrame, what: str, name: str = "block") -> DataFrame:
+    """docs with a last column block (the number of the partition that held the row), written."""
+    return written(docs.withColumn(name, F.spark_partition_id()), what)
 
 
-def count_blocks(texts: DataFrame) -> int:
-    return (texts.agg(F.max("block")).first()[0] or 0) + 1
+def count_blocks(texts: DataFrame, name: str = "block") -> int:
+    return (texts.agg(F.max(name)).first()[0] or 0) + 1
 
 
 @dataclass
@@ -70,12 +70,12 @@ class Blocks:
         return self.arrays
 
 
-def one_block(batches):
+def one_block(batches, name: str = "block"):
     """Batches cut where the column block changes: (block, batch)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        ids = batch.column(batch.schema.get_field_index("block")).to_numpy()
+        ids = batch.column(batch.schema.get_field_index(name)).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield int(ids[a]), batch.slice(a, b - a)

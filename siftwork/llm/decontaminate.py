@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwork.llm.blocks import blocked, count_blocks, one_block, write_by_block
-from siftwork.llm.common import ALNUM, LOWER, chunks, owners, tidy, windows, word_hashes, words
+from siftwork.llm.common import ALNUM, LOWER, chunks, owners, small_batches, tidy, unused, windows, word_hashes, words
 
 WINDOW = 10
 GRAM = 5
@@ -76,7 +76,8 @@ class _Items:
             self.by_n[int(k)] = (np.unique(key[rows]), h1[rows], h2[rows], item[rows])
 
 
-def _scan(part: pa.RecordBatch, data, offsets, items: _Items) -> pa.RecordBatch:
+def _scan(part: pa.RecordBatch, data, offsets, items: _Items) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of each text its words, those that are hit, and the names of the items met."""
     bounds, own, h, g = _spelled(data, offsets)
     n_words = np.diff(bounds)
     cover = np.zeros(len(h) + 1, I64)
@@ -113,34 +114,25 @@ def _scan(part: pa.RecordBatch, data, offsets, items: _Items) -> pa.RecordBatch:
     to = np.zeros(part.num_rows + 1, np.int32)
     np.cumsum(np.bincount(pairs[0], minlength=part.num_rows), out=to[1:])
     names = pa.array(items.names, pa.string()).take(pa.array(pairs[1]))
-    return pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(n_words), pa.array(n_hit), pa.ListArray.from_arrays(pa.array(to), names)], ["doc_id", "n_words", "n_hit", "items"])
+    return n_words, n_hit, pa.ListArray.from_arrays(pa.array(to), names)
 
 
-_OUT = "doc_id long, n_words long, n_hit long, items array<string>"
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """Per row of docs: doc_id, n_words, n_hit, items (item_ids with a window in it, sorted as strings).
-
-    A window is 10 consecutive item words; an item of fewer is one window, one of none has none. Words
-    are runs of [0-9a-z] and non-ASCII characters of the lower-cased (A-Z) text. Null and empty texts
-    have no words. Items with a null item_id or text are left out; items that repeat an id count as one.
-    Each row of docs gets its result, repeated ids too. Empty tables give no rows, or no hits.
-    """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _scanned(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int, emit, schema) -> DataFrame:
+    """What emit makes of each batch of docs (its text a string) and the result of _scan()."""
+    docs = small_batches(docs)
     windows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).mapInArrow(_item_windows, "item_id string, n int, key long, h1 long, h2 long").distinct()
-    few = windows.limit(broadcast_windows + 1).count()
-    if few <= broadcast_windows:
+    if windows.limit(broadcast_windows + 1).count() <= broadcast_windows:
         table = windows.toArrow()
 
         def small(batches):
             items = _Items(table)
             for part, data, offsets in chunks(batches):
-                yield _scan(part, data, offsets, items)
+                yield emit(part, *_scan(part, data, offsets, items))
 
-        return texts.mapInArrow(small, _OUT)
+        return docs.mapInArrow(small, schema)
 
-    texts = blocked(texts, "texts")
+    name = unused("block", docs)
+    texts = blocked(docs, "texts", name)
     lengths = sorted(r[0] for r in windows.select("n").distinct().collect())  # at most WINDOW numbers
 
     def fingerprints(batches):
@@ -151,20 +143,43 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BRO
                     key = np.unique(_least(h, n))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), block, np.int32)), pa.array(np.full(len(key), n, np.int32)), pa.array(key)], ["block", "n", "key"])
 
-    near = texts.mapInArrow(fingerprints, "block int, n int, key long").distinct()
-    met = write_by_block(near.join(windows, ["n", "key"]).select("block", "item_id", "n", "key", "h1", "h2"), "windows", count_blocks(texts), "h1")
+    near = texts.select(F.col(name).alias("block"), "text").mapInArrow(fingerprints, "block int, n int, key long").distinct()
+    met = write_by_block(near.join(windows, ["n", "key"]).select("block", "item_id", "n", "key", "h1", "h2"), "windows", count_blocks(texts, name), "h1")
     tidy(docs.sparkSession)
     empty = pa.schema([("item_id", pa.string()), ("n", pa.int32()), ("key", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())]).empty_table()
 
     def large(batches):
         now, items = None, None
-        for block, batch in one_block(batches):
+        for block, batch in one_block(batches, name):
             if block != now:
                 now, items = block, _Items(met.read(block) or empty)
             for part, data, offsets in chunks([batch]):
-                yield _scan(part, data, offsets, items)
+                yield emit(part.select(part.schema.names[:-1]), *_scan(part, data, offsets, items))
+
+    return texts.mapInArrow(large, schema)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """Per row of docs: doc_id, n_words, n_hit, items (item_ids with a window in it, sorted as strings).
+
+    A window is 10 consecutive item words; an item of fewer is one window, one of none has none. Words
+    are runs of [0-9a-z] and non-ASCII characters of the lower-cased (A-Z) text. Null and empty texts
+    have no words. Items with a null item_id or text are left out; items that repeat an id count as one.
+    Each row of docs gets its result, repeated ids too; other columns of docs play no part. Empty tables
+    give no rows, or no hits.
+    """
+
+    def emit(part, n_words, n_hit, items):
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(n_words), pa.array(n_hit), items], ["doc_id", "n_words", "n_hit", "items"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _scanned(texts, benchmark, broadcast_windows, emit, "doc_id long, n_words long, n_hit long, items array<string>")
+
 
-    return texts.mapInArrow(large, _OUT)
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """The rows of docs, with all their columns, in which overlaps() hits no word."""
+    docs = docs.withColumn("text", F.col("text").cast("string"))
+    return _scanned(docs, benchmark, broadcast_windows, lambda part, _, n_hit, __: part.filter(pa.array(n_hit == 0)), docs.schema)
 
 
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
