@@ -24,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.llm.common import LOWER, SPACED, chunks, forget, mix, text_bytes, tidy, windows, word_hashes, words, written
+from siftwork.llm.common import LOWER, SPACED, chunks, forget, mix, small_batches, text_bytes, tidy, windows, word_hashes, words, written
 from siftwork.llm.components import components
 
 SAMPLES = 256
@@ -137,17 +138,17 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """Of rows (u, v, text_u, text_v) those whose shingle sets reach percent of their union."""
-    kept: dict[int, np.ndarray] = {}
-
-    def sets(batch: pa.RecordBatch, ids: str, text: str) -> list[np.ndarray]:
-        named = batch.column(batch.schema.get_field_index(ids)).to_numpy(zero_copy_only=False)
-        first = {int(x): i for i, x in reversed(list(enumerate(named))) if int(x) not in kept}
-        if first:
-            rows = np.fromiter(first.values(), np.int64)
-            h, to = _shingles(*text_bytes(batch.column(batch.schema.get_field_index(text)).take(pa.array(rows))), size)
-            for k, x in enumerate(first):
-                kept[x] = np.unique(h[to[k] : to[k + 1]])
-        return [kept[int(x)] for x in named]
+    kept: dict[bytes, np.ndarray] = {}
+
+    def sets(part: pa.RecordBatch, name: str) -> list[np.ndarray]:
+        texts = part.column(part.schema.get_field_index(name)).dictionary_encode()
+        keys = [xxhash.xxh3_128_digest(t) for t in texts.dictionary.cast(pa.binary()).to_pylist()]
+        new = [i for i, k in enumerate(keys) if k not in kept]
+        if new:
+            h, to = _shingles(*text_bytes(texts.dictionary.take(pa.array(new))), size)
+            for k, i in enumerate(new):
+                kept[keys[i]] = np.unique(h[to[k] : to[k + 1]])
+        return [kept[keys[i]] for i in texts.indices.to_pylist()]
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -155,7 +156,7 @@ def _confirm(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iter
             if sum(map(len, kept.values())) > 2_000_000:
                 kept.clear()
             ok = np.zeros(part.num_rows, bool)
-            for i, (a, b) in enumerate(zip(sets(part, "u", "text_u"), sets(part, "v", "text_v"), strict=True)):
+            for i, (a, b) in enumerate(zip(sets(part, "text_u"), sets(part, "text_v"), strict=True)):
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 ok[i] = 100 * both >= percent * (len(a) + len(b) - both) and both > 0
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["u", "v"]).filter(pa.array(ok))
@@ -175,19 +176,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     distinct shingles of lower-cased (A-Z) words share at least percent % of their union. A text of
     fewer words is one shingle; null, empty and blank texts have none and are linked with nothing.
     component_id is the smallest doc_id reachable, kept is doc_id = component_id. Rows that repeat a
-    doc_id count as one document; a row without doc_id is linked with nothing, its component_id is
+    doc_id count as one document, which has the links of all its texts; a row without doc_id is linked with nothing, its component_id is
     null and it is kept. An empty table gives an empty result. Columns of docs besides these two play
     no part, whatever their names.
     """
     spark = docs.sparkSession
     bands, rows = banding(percent / 100)
     limit = sketch_limit(percent / 100)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     longs = ", ".join(f"{x} long" for x in _SKETCH)
     sig = written(texts.mapInArrow(lambda it: _signatures(it, shingle_words, bands, rows), f"doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, {longs}"), "signatures")
     classes = written(sig.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "classes")
     reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    sketches = reps.select(F.col("doc_id").alias("id"), "n_shingles", *_SKETCH).dropDuplicates(["id"])
+    sketches = reps.select(F.col("doc_id").alias("id"), "n_shingles", *_SKETCH)
     keyed = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
     hubs = keyed.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("bucket", "hub")
     shared = written(keyed.join(hubs, "bucket"), "buckets")
@@ -201,10 +202,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     tested = written(
         shared.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
         .join(sketches.alias("a"), F.col("u") == F.col("a.id")).join(sketches.alias("b"), F.col("v") == F.col("b.id"))
-        .where(_alike("a", "b", limit, percent)).select("u", "v"),
+        .where(_alike("a", "b", limit, percent)).select("u", "v").distinct(),
         "pairs",
     )
-    to_hubs = confirmed(tested)
+    digest = F.struct("d1", "d2")
+    several = sig.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(digest).alias("a"), F.max(digest).alias("b")).where("a <> b").select("doc_id")
+    own_texts = sig.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    first = confirmed(tested)
+    to_hubs = written(first.union(own_texts), "links")
+    forget(first)
     found = components(to_hubs)
     tidy(spark)
 
@@ -238,8 +244,8 @@ def _rarest(texts: DataFrame, crowd: DataFrame, shingle_words: int, percent: int
     Of n shingles it takes the n - ceil(n * percent / 100) + 1 rarest; sets that share percent % of their
     union have one of these in common. A shingle that one id alone has links nothing.
     """
-    sets = texts.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(crowd.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = written(sets.mapInArrow(lambda it: _sets(it, shingle_words), "id long, shingle long"), "sets")
+    sets = texts.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(crowd.select("id"), "id", "left_semi")
+    sets = written(sets.mapInArrow(lambda it: _sets(it, shingle_words), "id long, shingle long").distinct(), "sets")
     counts = sets.groupBy("shingle").agg(F.count("*").alias("n"))
     own = W.partitionBy("id")
     placed = sets.join(counts, "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("size", F.count("*").over(own))

@@ -57,14 +57,15 @@ def edited(rng: random.Random, words: list[str], share: float) -> str:
     return " ".join(f"new{rng.randrange(10**9)}" if rng.random() < share else w for w in words)
 
 
-def test_near_copies_are_found_as_by_brute_force(spark):
+@pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
+def test_near_copies_are_found_as_by_brute_force(spark, words, percent):
     rng, texts = random.Random(2), {}
     for k in range(60):
         base = [f"v{rng.randrange(5000)}" for _ in range(rng.randrange(20, 200))]
         for _ in range(4):
             texts[len(texts)] = edited(rng, base, rng.choice([0, 0.01, 0.03, 0.05, 0.1]))
-    rows = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 85).collect()
-    want = components(texts, 3, 85)
+    rows = near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), words, percent).collect()
+    want = components(texts, words, percent)
     assert {r["doc_id"]: r["component_id"] for r in rows} == want
     assert len(set(want.values())) < 200
 
@@ -93,6 +94,13 @@ def test_crowded_buckets_are_matched_exactly_and_propose_few_pairs(spark, monkey
     assert counted.value < 20 * len(texts)
 
 
+def test_a_repeated_id_has_the_links_of_all_its_texts(spark):
+    a, b = cases.prose(80, 11), cases.prose(80, 12)
+    rows = [(1, a), (5, a + " tail"), (5, b), (5, b), (7, b + " end"), (9, cases.prose(80, 13)), (3, b)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (3, 1), (5, 1), (5, 1), (5, 1), (7, 1), (9, 9)]
+
+
 def test_odd_documents_near(spark):
     rows = near_dedup.near_duplicates(cases.documents(spark), 3, 85).collect()
     assert len(rows) == len(cases.ROWS)
@@ -206,5 +214,8 @@ def test_odd_documents_overlaps(spark):
         got = decontaminate.overlaps(cases.documents(spark), bench, few).collect()
         assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"]) for r in got), key=repr) == sorted(((r[0], *overlap(r[1], items)) for r in cases.ROWS), key=repr)
         assert decontaminate.overlaps(cases.documents(spark).limit(0), bench, few).collect() == []
+        clean = decontaminate.uncontaminated(cases.documents(spark), bench, few)
+        assert clean.columns == cases.documents(spark).columns
+        assert sorted(repr((r["doc_id"], r["text"])) for r in clean.collect()) == sorted(repr(r[:2]) for r in cases.ROWS if not overlap(r[1], items)[1])
     assert all(r["n_hit"] == 0 for r in decontaminate.overlaps(cases.documents(spark), bench.limit(0)).collect())
 
