@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.functions.patterns import any_lower_word, forms, lower_word, sql_word
+from siftwork.functions.patterns import any_case_word, any_lower_word, forms, lower_word, sql_word
 
 
 def occurrences(docs: DataFrame, key: str, text: str, terms: list[str], smart: bool = False) -> DataFrame:
@@ -120,6 +120,22 @@ def page_places(pages: DataFrame, key: str, page: str, text: str, terms: list[st
     return found.join(starts.select("_page", "_start"), "_page").select(F.col(f"_page.{key}").alias(key), "term", (F.col("pos") + F.col("_start")).alias("pos"))
 
 
+def page_presence(pages: DataFrame, key: str, page: str, text: str, terms: list[str], max_pages: int = 200, page_bytes: int = 128 << 10) -> DataFrame:
+    """(key, found) of documents in pages: whether all terms are there, on whatever pages.
+
+    Of the first max_pages pages page_bytes each are looked at. found is null where a term is missing and
+    something was not looked at. Each page's verdicts are combined before they are exchanged.
+    """
+    number = F.row_number().over(W.partitionBy(key).orderBy(page)) if max_pages else F.lit(0)
+    looked = F.when(F.octet_length(text) <= page_bytes, F.col(text)).otherwise(F.make_valid_utf8(F.substring(F.col(text).cast("binary"), 1, page_bytes).cast("string")))
+    rows = pages.select(key, number.alias("_n"), looked.alias("_t"), (F.octet_length(text) > page_bytes).alias("_cut"))
+    seen = F.col("_n") <= max_pages if max_pages else F.lit(True)
+    hits = [F.bool_or(F.coalesce(seen & F.col("_t").rlike(any_case_word(t)), F.lit(False))).alias(f"_h{i}") for i, t in enumerate(terms) if t.strip()]
+    found = rows.groupBy(key).agg(*hits, F.bool_or(~seen | F.coalesce("_cut", F.lit(False))).alias("_more"))
+    every = reduce(lambda a, b: a & b, (F.col(c) for c in found.columns if c.startswith("_h")), F.lit(True))
+    return found.select(key, F.when(every, True).when(~F.col("_more"), False).alias("found"))
+
+
 def page_within(pages: DataFrame, key: str, page: str, text: str, terms: list[str], distance: int) -> DataFrame:
     """(key, span) of documents in pages that have all terms within distance, across pages too."""
     each = spans(page_places(pages, key, page, text, terms), key, len(terms))

@@ -209,6 +209,17 @@ def page_proximity(spark, sf_dir):
     return proximity.page_within(conversations(spark, sf_dir), "conv_id", "turn", "text", ["the", "that"], 400)
 
 
+_PAGE = "SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, left(text, 300) AS t, strlen(text) > strlen(left(text, 300)) AS cut FROM conversations"
+_ON_PAGES = " AND ".join(f"bool_or(n <= 3 AND regexp_matches(t, {P.sql_word(t)}))" for t in ("the", "that"))
+
+
+@_query("page_presence", f"SELECT conv_id, CASE WHEN {_ON_PAGES} THEN true WHEN NOT bool_or(n > 3 OR cut) THEN false END AS found FROM ({_PAGE}) GROUP BY conv_id")
+def page_presence(spark, sf_dir):
+    # the SQL cuts pages after characters, so here pages are cut so first; what was cut still counts as more
+    rows = conversations(spark, sf_dir).withColumn("text", F.when(F.length("text") > 300, F.concat(F.left("text", F.lit(300)), F.repeat(F.lit(" "), F.lit(2000)))).otherwise(F.col("text")))
+    return proximity.page_presence(rows, "conv_id", "turn", "text", ["the", "that"], 3, 2000)
+
+
 @_query("clean_text", f"SELECT doc_id, {_CLEAN} AS clean FROM documents")
 def clean_text(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", C.clean(F.col("text")).alias("clean"))

@@ -7,13 +7,13 @@ an expression of the raw one; it is computed where it is used, on those rows onl
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from siftwork.functions.cleaning import clean, header, highlight
 from siftwork.operators.excerpts import bounded, excerpt_column
 from siftwork.operators.paths import in_scope, in_skipped_folder, is_binary, of_excluded_types, of_types
-from siftwork.operators.presence import excluded, first_word_candidate, keep_undecided, longest_two, present
+from siftwork.operators.presence import excluded, first_word_candidate, keep_undecided, longest_two, present, read_cap
 from siftwork.operators.proximity import within
 from siftwork.plans.query import SearchQuery
 from siftwork.sources import doctree
@@ -68,9 +68,21 @@ def results(rows: DataFrame, query: SearchQuery, key: str = "path") -> DataFrame
     return found.select(key, "size", F.transform("raw_excerpts", lambda x: highlight(x, list(query.terms))).alias("excerpts"), "raw_excerpts", bounded(F.col("clean")).alias("clean_content"), "email_date", "email_subject")
 
 
-def search(spark: SparkSession, query: SearchQuery) -> DataFrame:
-    """The files below query.start that match, with excerpts; sorted by path when they are shown."""
+def counts(files: DataFrame) -> list[Column]:
+    """What a search may count of the files that it reads: all, bytes, those cut short, mails, portable documents."""
+    size, kind = F.col("size"), F.lower("ext")
+    cut = F.count_if(read_cap(size) < size).alias("truncated")
+    return [F.count("*").alias("files"), F.sum("size").alias("bytes"), cut, F.count_if(kind.isin(*_MAILS)).alias("mails"), F.count_if(kind == ".pdf").alias("portable")]
+
+
+def search(spark: SparkSession, query: SearchQuery, metrics: Observation | None = None) -> DataFrame:
+    """The files below query.start that match, with excerpts; sorted by path when they are shown.
+
+    metrics gets counts() once the result has been computed.
+    """
     files = doctree.files(spark, query.start, list(query.types) if query.types else None, list(query.scope) or None)
+    if metrics is not None:
+        files = files.observe(metrics, *counts(files))
     if not query.terms:
         raise ValueError("a search needs a term")
     return results(filtered(candidates(files, query), query), query)

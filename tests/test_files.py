@@ -4,6 +4,7 @@ import zipfile
 from email.message import EmailMessage
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from siftwork.plans.query import SearchQuery
@@ -37,6 +38,12 @@ def test_first_words(spark, tree, term, below, scope, found):
     assert {r["path"].removeprefix(f"{tree / below}/") for r in rows} == found
 
 
+def test_counts_of_what_was_read(spark, tree):
+    seen = Observation("files")
+    assert len(search(spark, SearchQuery(("auth",), types=("md", "go"), start=str(tree)), seen).collect()) == 2
+    assert seen.get == {"files": 7, "bytes": sum(len(t) for p, t in TREE.items() if p.endswith(("md", "go"))), "truncated": 0, "mails": 0, "portable": 0}
+
+
 def test_folders_names_and_exclusions(spark, tmp_path):
     for path in ("a.txt", "build/b.txt", ".config/c.txt", "x/node_modules/d.txt", "E.TXT", "f.pdf", "noext", ".hidden.txt", "_u.txt"):
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)

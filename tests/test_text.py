@@ -83,6 +83,12 @@ def test_places_go_on_from_page_to_page(spark):
     assert proximity.page_within(pages, "k", "p", "t", ["alpha", "beta"], 9).count() == 0
 
 
+def test_presence_on_pages(spark):
+    pages = spark.createDataFrame([(1, 1, "alpha"), (1, 2, "beta"), (2, 1, "alpha"), (2, 2, None), (3, 1, "alpha"), (3, 2, "x" * 50 + " beta"), (4, 1, "x"), (4, 2, "x"), (4, 3, "alpha beta")], "k int, p int, t string")
+    found = {r["k"]: r["found"] for r in proximity.page_presence(pages, "k", "p", "t", ["alpha", "beta"], 2, 40).collect()}
+    assert found == {1: True, 2: False, 3: None, 4: None}
+
+
 def test_excerpts():
     far = "x " * 300
     assert E.excerpts("one alpha two beta three", ["alpha", "beta"]) == ["one alpha two beta three"]
