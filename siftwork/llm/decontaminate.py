@@ -177,7 +177,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BRO
 
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """The rows of docs, with all their columns, in which overlaps() hits no word."""
+    """The rows of docs, with all their columns whatever their names, in which overlaps() hits no word.
+
+    Rows without doc_id are judged like others; null texts stay. Repeated rows stay or go alike; an empty
+    table gives an empty result, an empty benchmark all rows.
+    """
     docs = docs.withColumn("text", F.col("text").cast("string"))
     return _scanned(docs, benchmark, broadcast_windows, lambda part, _, n_hit, __: part.filter(pa.array(n_hit == 0)), docs.schema)
 

@@ -284,7 +284,10 @@ def scores(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, limit: int
 
 
 def good(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, that scores() would give THRESHOLD or more."""
+    """The rows of docs, with all their columns whatever their names, that scores() would give THRESHOLD or more.
+
+    Nulls, repeated rows and empty tables are as in scores().
+    """
     score = _scorer(learn_from, labels, limit)
 
     def run(batches: Iterator[pa.RecordBatch]):

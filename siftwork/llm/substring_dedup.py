@@ -169,7 +169,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     A word goes if a window of `window` consecutive words covers it whose words also start somewhere
     in a document with a smaller doc_id; windows are judged on the input. Null and empty texts have no
     words. Rows that repeat a doc_id are not smaller than each other, so neither loses to the other;
-    a row without doc_id neither removes nor loses words. An empty table gives an empty result.
+    a row without doc_id neither removes nor loses words. Other columns of docs play no part. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     texts = blocked(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "texts")

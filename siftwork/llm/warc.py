@@ -416,7 +416,8 @@ def archive(pages: DataFrame, least_bytes: int = 0, broadcast_revisits: int = BR
 
     Of records with equal payloads of at least least_bytes bytes the one with the largest page_id is the
     response, others revisit it; rows that repeat that page_id are responses too, and so is a row
-    without page_id. A null html is an empty payload, a null url is left out.
+    without page_id. A null html is an empty payload, a null url is left out. Other columns of pages play
+    no part; an empty table gives an empty manifest.
     """
     rows = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     named = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least_bytes)).select("page_id", F.sha1(F.col("html").cast("binary")).alias("name"))
