@@ -245,7 +245,7 @@ def _rarest(texts: DataFrame, crowd: DataFrame, shingle_words: int, percent: int
     union have one of these in common. A shingle that one id alone has links nothing.
     """
     sets = texts.select(F.col("doc_id").alias("id"), "text").where("id is not null").join(crowd.select("id"), "id", "left_semi")
-    sets = written(sets.mapInArrow(lambda it: _sets(it, shingle_words), "id long, shingle long").distinct(), "sets")
+    sets = written(sets.mapInArrow(lambda it: _sets(it, shingle_words), "id long, shingle long"), "sets")  # rows of a repeated id change nothing but its counts
     counts = sets.groupBy("shingle").agg(F.count("*").alias("n"))
     own = W.partitionBy("id")
     placed = sets.join(counts, "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle"))).withColumn("size", F.count("*").over(own))

@@ -4,7 +4,7 @@ A difference cover D modulo v has, for every pair of positions, a shift below v
 D. So two equal runs of `window` words share an anchor of window - v + 1 words that starts at a
 cover position in both texts. Only anchors (|D| / v of all positions) go through the first exchange;
 the words around anchors that more than one document has are then extended to whole windows, whose
-128-bit hashes go through the second. What comes back by block is, for each window, the smallest
+96-bit hashes go through the second. What comes back by block is, for each window, the smallest
 document that holds it, and the words that later documents repeat are dropped.
 """
 
@@ -48,6 +48,11 @@ def _anchored(data, offsets, window):
     return bounds, own, place, h, g, runs, flag
 
 
+def _half(h: np.ndarray) -> np.ndarray:
+    """The upper 32 bits."""
+    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _ids(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     col = part.column(part.schema.get_field_index("doc_id"))
     return col.fill_null(0).to_numpy(), col.is_valid().to_numpy(zero_copy_only=False)
@@ -103,14 +108,15 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, table: ByBlock)
             pick = np.flatnonzero((near[v : v + len(h)] > near[: len(h)]) & (place + window <= np.diff(bounds)[own]) & valid[own])
             if not len(pick):
                 continue
-            h1, h2 = windows(h, window, _SEED1)[pick], windows(g, window, _SEED2)[pick]
+            h1, h2 = windows(h, window, _SEED1).view(I64)[pick], _half(windows(g, window, _SEED2)[pick])
             doc = ids[own[pick]]
             order = np.lexsort((h2, h1))
             h1, h2, doc = h1[order], h2[order], doc[order]
             at = np.flatnonzero(np.concatenate(([True], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h1[at].view(I64)), pa.array(h2[at].view(I64)), pa.array(np.full(len(at), block, np.int32)), pa.array(np.minimum.reduceat(doc, at)), pa.array(np.maximum.reduceat(doc, at))], ["h1", "h2", "block", "lo", "hi"]
-            )
+            lo, hi = np.minimum.reduceat(doc, at), np.maximum.reduceat(doc, at)
+            back = np.argsort(lo, kind="stable")  # in an exchange only the hashes are then without order
+            at, lo, hi = at[back], lo[back], hi[back]
+            yield pa.RecordBatch.from_arrays([pa.array(h1[at]), pa.array(h2[at]), pa.array(np.full(len(at), block, np.int32)), pa.array(lo), pa.array(hi)], ["h1", "h2", "block", "lo", "hi"])
 
 
 def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,7 +132,7 @@ def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 def _removed(batches: Iterator[pa.RecordBatch], window: int, table: ByBlock) -> Iterator[pa.RecordBatch]:
     """(doc_id, n_words, n_removed, kept_text) per document."""
-    firsts = Blocks(table, ["h1", "h2", "least"], [I64, I64, I64])
+    firsts = Blocks(table, ["h1", "h2", "least"], [I64, np.int32, I64])
     for block, batch in one_block(batches):
         k1, k2, least = firsts(block)
         for part, data, offsets in chunks([batch]):
@@ -142,7 +148,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int, table: ByBlock) ->
                 place = np.arange(len(h1)) - bounds[:-1][own[: len(h1)]]
                 hit = np.flatnonzero((k1[at] == h1) & (place + window <= count[own[: len(h1)]]) & valid[own[: len(h1)]])
                 if len(hit):
-                    h2 = windows(g, window, _SEED2).view(I64)[hit]
+                    h2 = _half(windows(g, window, _SEED2)[hit])
                     at = at[hit]
                     seen = np.zeros(len(hit), bool)
                     while True:  # rows of equal h1 stand together; nearly always there is one
@@ -180,7 +186,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     shared = anchors.withColumn("n", F.count("*").over(same)).withColumn("several", F.max(F.col("tag") % 2).over(same)).where("n > 1 or several = 1")
     met = write_by_block(shared.select(F.expr("cast(tag div 2 as int)").alias("block"), "key").distinct(), "anchors", blocks, "key")
     tidy(spark)
-    found = texts.mapInArrow(lambda it: _candidates(it, window, met), "h1 long, h2 long, block int, lo long, hi long")
+    found = texts.mapInArrow(lambda it: _candidates(it, window, met), "h1 long, h2 int, block int, lo long, hi long")
     least = found.withColumn("least", F.min("lo").over(W.partitionBy("h1", "h2"))).where("least < hi")
     first = write_by_block(least.select("block", "h1", "h2", "least").distinct(), "windows", blocks, "h1")
     forget(met.path)
