@@ -84,9 +84,11 @@ def matches(docs: DataFrame) -> DataFrame:
         F.split("text", F.col("pattern"), -1),
         lambda g: F.struct(F.length(g).alias("n"), F.lower(F.regexp_extract(F.right(g, F.lit(CONTEXT)), f"((?:{_WORD}++{_GAP}++)?{_WORD}++){_GAP}*+$", 1)).alias("last"), F.lower(F.regexp_extract(F.left(g, F.lit(CONTEXT)), f"^{_GAP}*+({_WORD}++)", 1)).alias("first")),
     )
-    rows = rows.select("doc_id", "h", "kind", "m", gaps.alias("g"))
-    each = F.transform("m", lambda m, i: F.struct(i.alias("i"), m.alias("match"), F.get("g", i)["n"].alias("n"), F.get("g", i)["last"].alias("left"), F.get("g", i + 1)["first"].alias("right")))
-    rows = rows.select("doc_id", "h", "kind", F.explode(each).alias("x")).select("doc_id", "h", "kind", "x.*").distinct()
+    # a variable holds the gaps, so that they are computed once and not for every match
+    n = F.size("m")
+    zipped = F.get(F.transform(F.array(gaps), lambda g: F.arrays_zip(F.col("m").alias("match"), F.slice(g, 1, n).alias("before"), F.slice(g, 2, n).alias("after"))), F.lit(0))
+    rows = rows.select("doc_id", "h", "kind", F.posexplode(zipped).alias("i", "x"))
+    rows = rows.select("doc_id", "h", "kind", "i", "x.match", F.col("x.before.n").alias("n"), F.col("x.before.last").alias("left"), F.col("x.after.first").alias("right")).distinct()
     own = W.partitionBy("doc_id", "h", "kind").orderBy("i")
     start = F.sum("n").over(own.rowsBetween(W.unboundedPreceding, 0)) + F.coalesce(F.sum(F.length("match")).over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("start", start).where(_valid(F.col("kind"), F.col("match"))).select("doc_id", "h", "kind", "start", (F.col("start") + F.length("match")).alias("end"), "match", "left", "right")

@@ -5,8 +5,8 @@ lines before and after it, and the labels of neighbouring lines depend on each o
 backward passes give each line's probability of being good; their mean, weighted by the lines'
 lengths, is turned into the document's score by a logistic curve.
 
-The fit uses at most SAMPLE labelled documents of LINES lines together, picked by a hash; their lines
-take the document's label. The curve is fitted on a fifth of them that the field does not see.
+The fit uses at most SAMPLE labelled documents of LINES lines together, each of at most LONGEST, picked by
+a hash; their lines take the document's label. The curve is fitted on a fifth of them that the field does not see.
 """
 
 from __future__ import annotations
@@ -22,8 +22,9 @@ from pyspark.sql import Window as W
 
 from siftwork.llm.common import SPACED, chunks, coded, crc32_mod, packed, small_batches, words
 
-#: Labelled documents in the fit, and lines of them; documents that would go beyond either are left out.
-SAMPLE, LINES = 5000, 300_000
+#: Labelled documents in the fit, and lines of them; documents that would go beyond either are left out, and so
+#: are those of more than LONGEST lines, as the fit walks along the longest chain in every round.
+SAMPLE, LINES, LONGEST = 5000, 300_000, 1000
 THRESHOLD = 0.3
 N_FEATURES, N_BINS = 14, 6
 _UPPER, _LETTER, _DIGIT, _SYMBOL, _STOP, _WIDE = (np.zeros(256, np.float32) for _ in range(6))
@@ -238,6 +239,7 @@ def sampled(docs: DataFrame, labels: DataFrame, limit: int) -> tuple[list[np.nda
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     rows = docs.where("text is not null").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
     lines = rows.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1).alias("n"))
+    lines = lines.where(F.col("n") <= LONGEST)
     so_far = F.sum("n").over(W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, 0))  # over at most limit numbers
     rows = rows.join(F.broadcast(lines.withColumn("n", so_far).where(F.col("n") <= LINES).select("doc_id")), "doc_id")
 

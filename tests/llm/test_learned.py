@@ -214,7 +214,7 @@ def test_marginals_against_all_labellings():
 
 def test_odd_documents_and_labels(spark):
     docs = cases.documents(spark)
-    labels = spark.createDataFrame([(7, 1, None), (9, 0, None), (11, 0, 1), (8, None, None), (None, 1, None), (7, 1, None), (12, 5, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame([(7, 1, None), (9, 0, None), (10, 0, None), (11, 0, 1), (8, None, None), (None, 1, None), (7, 1, None), (12, 5, None), (4, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.scores(docs, docs, labels).collect()
     assert len(rows) == len(cases.ROWS) and all(0 <= r["score"] <= 1 for r in rows)
     assert len({r["score"] for r in rows if r["doc_id"] in (1, 2)}) == 1
