@@ -5,14 +5,17 @@ fold over a text's words does it all: it keeps the last place of each term, whos
 narrowest span that ends here begins. That is one expression, so a search is one scan without an
 exchange.
 
-Other terms may overlap (`new york`, `york times`) or begin inside a word of another alphabet. Their places
-are rows, which are sorted and spilled like any others, and running maxima by term take the fold's
-part: one exchange by document, of documents that have all terms.
+Other terms may overlap (`new york`, `york times`) or begin inside a word of another alphabet. For them the
+same fold goes over the places where any term begins, and looks at each for every term.
+
+Places across the pages of a document are rows, which are sorted and spilled like any others, and running
+maxima by term take the fold's part: one exchange by document.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,42 +54,73 @@ def simple(terms: list[str]) -> bool:
     return bool(terms) and all(re.fullmatch("[0-9A-Za-z_]+", t.strip()) for t in terms)
 
 
-def span_column(text: Column, terms: list[str], smart: bool = False) -> Column:
-    """(span, left, right) of the narrowest span with all terms, the leftmost of equal ones; null without one.
+def _fold(steps: Column, terms: int, at: int, keeps: list[str], step: Callable[[Column, Column, Column], tuple[Column, Column, list[Column], dict[str, Column]]]) -> Column:
+    """(span, left, right) of the narrowest span over an array of places in order, or null.
 
-    For simple() terms. One pass over the words that are a form of any term.
+    step gives, of the state, a place and where it is: whether it is one at all, where the next gap begins, the
+    last place of each term and what else the state keeps.
     """
-    base = [t.strip().lower() for t in terms]
-    endings = ["", *forms(smart)[3:-2].split("|")]
-    pattern = F.lit(any_lower_word(list(dict.fromkeys(base)), smart))
     none = F.lit(None).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("at"), *(none.alias(f"t{i}") for i in range(len(base))), none.alias("span"), none.alias("left"), none.alias("right"))
+    start = F.struct(F.lit(at).cast("long").alias("at"), *(none.alias(f"t{i}") for i in range(terms)), *(none.alias(name) for name in (*keeps, "span", "left", "right")))
 
-    def step(a: Column, x: Column) -> Column:
+    def one(a: Column, x: Column) -> Column:
         here = a["at"] + x["gap"]
-        last = [F.when(x["word"].isin([t + e for e in endings]), here).otherwise(a[f"t{i}"]) for i, t in enumerate(base)]
+        known, after, last, kept = step(a, x, here)
         whole = reduce(lambda p, q: p & q, (t.isNotNull() for t in last))
         left = F.least(*last) if len(last) > 1 else last[0]
         better = whole & (a["span"].isNull() | (here - left < a["span"]))
         best = [F.when(better, new).otherwise(a[name]).alias(name) for name, new in (("span", here - left), ("left", left), ("right", here))]
-        return F.when(x["word"].isNull(), a).otherwise(F.struct((here + F.octet_length(x["word"])).alias("at"), *(t.alias(f"t{i}") for i, t in enumerate(last)), *best))
+        return F.when(known, F.struct(after.alias("at"), *(t.alias(f"t{i}") for i, t in enumerate(last)), *(kept[name].alias(name) for name in keeps), *best)).otherwise(a)
+
+    return F.aggregate(steps, start, one, lambda a: F.when(a["span"].isNotNull(), F.struct(a["span"].alias("span"), a["left"].alias("left"), a["right"].alias("right"))))
+
+
+def _over_words(t: Column, terms: list[str], smart: bool) -> Column:
+    """The fold over the words of a lower-cased text that are a form of any of simple() terms."""
+    base = [x.strip().lower() for x in terms]
+    endings = ["", *forms(smart)[3:-2].split("|")]
+    pattern = F.lit(any_lower_word(list(dict.fromkeys(base)), smart))
+    words = F.regexp_extract_all(t, pattern, F.lit(0))
+    steps = F.arrays_zip(words.alias("word"), F.transform(F.split(t, pattern, -1), F.octet_length).alias("gap"))
 
-    def narrowest(t: Column) -> Column:
-        words = F.regexp_extract_all(t, pattern, F.lit(0))
-        steps = F.arrays_zip(words.alias("word"), F.transform(F.split(t, pattern, -1), F.octet_length).alias("gap"))
-        return F.aggregate(steps, start, step, lambda a: F.when(a["span"].isNotNull(), F.struct(a["span"].alias("span"), a["left"].alias("left"), a["right"].alias("right"))))
+    def step(a: Column, x: Column, here: Column):
+        last = [F.when(x["word"].isin([b + e for e in endings]), here).otherwise(a[f"t{i}"]) for i, b in enumerate(base)]
+        return x["word"].isNotNull(), here + F.octet_length(x["word"]), last, {}
 
-    return F.get(F.transform(F.array(F.lower(text)), narrowest), F.lit(0))  # a variable, so that the text is computed once
+    return _fold(steps, len(base), 0, [], step)
+
+
+def _over_places(t: Column, terms: list[str], smart: bool) -> Column:
+    """The fold over the places of a lower-cased text where any term begins, for terms that may overlap.
+
+    The text is cut where one begins; at each cut each term is tried. A term does not begin before its own
+    last one has ended. The text has a line feed before it, so that a term at its very start makes a cut too.
+    """
+    patterns = [lower_word(x, smart) for x in terms]
+    place = f"(?={'|'.join(patterns)})"
+    hits = [F.transform(F.regexp_extract_all(t, F.lit(f"{place}(?=({p})?)"), F.lit(1)), F.octet_length).alias(f"n{i}") for i, p in enumerate(patterns)]
+    steps = F.arrays_zip(F.transform(F.split(t, place, -1), F.octet_length).alias("gap"), *hits)
+
+    def step(a: Column, x: Column, here: Column):
+        begins = [(x[f"n{i}"] > 0) & (a[f"e{i}"].isNull() | (a[f"e{i}"] <= here)) for i in range(len(terms))]
+        last = [F.when(new, here).otherwise(a[f"t{i}"]) for i, new in enumerate(begins)]
+        return x["n0"].isNotNull(), here, last, {f"e{i}": F.when(new, here + x[f"n{i}"]).otherwise(a[f"e{i}"]) for i, new in enumerate(begins)}
+
+    every = reduce(lambda p, q: p & q, (t.rlike(p) for p in sorted(patterns, key=len, reverse=True)))
+    return F.when(every, _fold(steps, len(terms), -1, [f"e{i}" for i in range(len(terms))], step))
+
+
+def span_column(text: Column, terms: list[str], smart: bool = False) -> Column:
+    """(span, left, right) of the narrowest span with all terms, the leftmost of equal ones; null without one."""
+    lower = F.lower(text)
+    one, fold = (lower, _over_words) if simple(terms) else (F.concat(F.lit("\n"), lower), _over_places)
+    return F.get(F.transform(F.array(one), lambda t: fold(t, terms, smart)), F.lit(0))  # a variable, so that the text is computed once
 
 
 def min_span(docs: DataFrame, key: str, text: str, terms: list[str], smart: bool = False) -> DataFrame:
     """(key, left, right, span) of the narrowest span with all terms, the leftmost of equal ones; only rows that have all."""
-    if simple(terms):
-        found = docs.where(_has_all(text, terms, smart)).select(key, span_column(F.col(text), terms, smart).alias("_b"))
-        return found.where("_b is not null").select(key, "_b.left", "_b.right", "_b.span")
-    each = spans(occurrences(docs, key, text, terms, smart), key, len(terms))
-    best = F.min(F.struct((F.col("right") - F.col("left")).alias("span"), F.col("left"), F.col("right")))
-    return each.groupBy(key).agg(best.alias("b")).select(key, "b.left", "b.right", "b.span")
+    found = (docs.where(_has_all(text, terms, smart)) if simple(terms) else docs).select(key, span_column(F.col(text), terms, smart).alias("_b"))
+    return found.where("_b is not null").select(key, "_b.left", "_b.right", "_b.span")
 
 
 def _has_all(text: str, terms: list[str], smart: bool) -> Column:
@@ -99,16 +133,13 @@ def within(docs: DataFrame, key: str, text: str, terms: list[str], distance: int
     """The rows of docs whose text has all terms within distance bytes, from start to start, in any order.
 
     No terms match all rows; of one term presence is enough. Rows without all terms are best dropped
-    before, by the raw text if text is one cleaned; where rows are exchanged, they are. key must tell rows apart, unless the terms are simple() ones.
+    before, by the raw text if text is one cleaned.
     """
     if not terms:
         return docs
-    if len(terms) > 1 and simple(terms):
+    if len(terms) > 1:
         return docs.where(span_column(F.col(text), terms, smart)["span"] <= distance)
-    some = docs.where(_has_all(text, terms, smart))
-    if len(terms) == 1:
-        return some
-    return some.join(min_span(some, key, text, terms, smart).where(F.col("span") <= distance).select(key), key, "left_semi")
+    return docs.where(_has_all(text, terms, smart))
 
 
 def page_places(pages: DataFrame, key: str, page: str, text: str, terms: list[str]) -> DataFrame:

@@ -77,6 +77,19 @@ def test_proximity_against_brute_force(spark):
         assert got == {i for i, t in enumerate(texts) if (not terms) or (t is not None and near(t, terms, distance))}
 
 
+def test_proximity_of_terms_that_overlap_themselves(spark):
+    rng = random.Random(7)
+    texts = ["a a", "a a b", "a a a", "é é é", "b a a a"] + ["".join(rng.choice(["a ", "a a ", "b ", "as ", "é ", "é", "ÉÉ ", "€a ", ",", "x", "İ "]) for _ in range(rng.randrange(20))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for terms, distance in ((["a a", "a"], 2), (["a a", "a a"], 3), (["a a", "b"], 4), (["é é", "a"], 6), (["é,", "é"], 5), (["a a", "é", "b"], 12)):
+        got = {r["id"] for r in proximity.within(docs, "id", "t", terms, distance).collect()}
+        assert got == {i for i, t in enumerate(texts) if near(t, terms, distance)}, terms
+        low, each = {}, proximity.spans(proximity.occurrences(docs, "id", "t", terms), "id", len(terms)).collect()
+        for r in each:
+            low[r["id"]] = min(low.get(r["id"], (1 << 30,)), (r["right"] - r["left"], r["left"], r["right"]))
+        assert {r["id"]: (r["span"], r["left"], r["right"]) for r in proximity.min_span(docs, "id", "t", terms).collect()} == low
+
+
 def test_places_go_on_from_page_to_page(spark):
     pages = spark.createDataFrame([(1, 1, "alpha é"), (1, 2, None), (1, 3, "beta"), (2, 1, "alpha"), (2, 2, "gamma")], "k int, p int, t string")
     assert [(r["k"], r["span"]) for r in proximity.page_within(pages, "k", "p", "t", ["alpha", "beta"], 10).collect()] == [(1, 10)]
