@@ -43,8 +43,13 @@ RTF_TEXT = ((r"\\[a-z]+[0-9]*", ""), (r"[{}]", ""), SPACES, TRIM)
 NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 
 
+def trim(text: Column) -> Column:
+    """TRIM without a pattern, which would be tried at every place of a text."""
+    return F.btrim(text, F.lit(UNICODE_SPACE))
+
+
 def chain(text: Column, steps: tuple) -> Column:
-    return reduce(lambda c, step: F.regexp_replace(c, step[0], step[1]), steps, text)
+    return reduce(lambda c, step: trim(c) if step is TRIM else F.regexp_replace(c, step[0], step[1]), steps, text)
 
 
 def sql_chain(text: str, steps: tuple) -> str:
@@ -71,7 +76,7 @@ def html_text(text: Column) -> Column:
     """Tags as spaces; five entities decoded one after the other, others left; trimmed."""
     for name, char in NAMED.items():
         text = F.replace(text if name != "&amp;" else F.regexp_replace(text, *TAG), F.lit(name), F.lit(char))
-    return F.regexp_replace(text, *TRIM)
+    return trim(text)
 
 
 def sql_html_text(text: str) -> str:
@@ -123,7 +128,7 @@ def salvage_ascii(data: Column) -> Column:
 def header(text: Column, name: str) -> Column:
     """The first `name:` line's value in a raw mail, trimmed; null where there is none."""
     found = F.regexp_extract(text, f"(?mdi)^{name}:{S}*(.+)$", 1)
-    return F.when(found != "", F.regexp_replace(found, *TRIM))
+    return F.when(found != "", trim(found))
 
 
 def sql_header(text: str, name: str) -> str:
