@@ -131,6 +131,18 @@ def test_sentences():
     assert E.chunked("aa bb cc", 5) == ["aa bb", "cc"]
 
 
+def test_sentences_are_the_same_in_spark_and_python(spark):
+    rng = random.Random(11)
+    parts = ["a", "b", "A", "É", "é", "1", "3.14", ".", ".", "!", "?", " ", " ", "\n", "\n\n", "\u00a0", "\u2028", "\x85", "Dr", "mr", "PROF", "ltd", "inc", "xno", "\u00b2st", "1st", "_Jr", "\U0001d400", "\U0001d41a", "\u2160", "\u01c5", "<b>", ",", "\u00a0" * 58, "\u00a0" * 61]
+    texts = ["", "  ", "a.", ". A", "xmr" + "\u00a0" * 62 + ". A", "mr" + "\u00a0" * 62 + ". A", "mr" + "\u00a0" * 63 + ". A", "\U0001d400mr. A", "\U0001d400 mr. A"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(24))) for _ in range(4000)]
+    found = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, raw string").select("i", E.sentence_column(F.col("raw")).alias("s"))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {r["i"]: r["s"] for r in found.collect()}
+    assert got.pop(-1) == []
+    for i, t in enumerate(texts):
+        assert got[i] == E.sentences(t), t
+
+
 def test_highlight(spark):
     row = spark.range(1).select(C.highlight(F.lit("Alpha's alphas"), ["alpha"]).alias("x")).first()
     assert row["x"] == "\x1b[1;31mAlpha\x1b[0m's \x1b[1;31malphas\x1b[0m"
