@@ -90,6 +90,19 @@ def test_proximity_of_terms_that_overlap_themselves(spark):
         assert {r["id"]: (r["span"], r["left"], r["right"]) for r in proximity.min_span(docs, "id", "t", terms).collect()} == low
 
 
+def test_what_cannot_match_is_dropped_before_it_is_cleaned(spark):
+    rng = random.Random(13)
+    parts = ["th", "TH", "er", "für", "FÜR", "of", "the", "a", "1", "_", " ", " ", "\n", ">", "<", "<b>", "&amp;", "&th;", ",", "\x00", "-----", "ed", "\u0130", "\u212a", "<style>x</style>", "<script>th</script>", "<STYLE>", "é", "Σ", "+"]
+    texts = [None, "TH1 er", "t<style></style>h er", "th"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(20))) for _ in range(3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, raw string")
+    for terms, smart in ((["th", "er"], True), (["th", "er"], False), (["of the", "the"], False), (["für", "th"], False), (["k", "th"], True), (["th1", "a"], False), (["aσ", "a"], False), (["th"], False), (["a+", "er"], False)):
+        rows = docs.select("id", C.clean(F.col("raw")).alias("clean"), proximity.possible(F.col("raw"), terms, smart).alias("maybe"))
+        hits = proximity.within(rows, "id", "clean", terms, 1000, smart)
+        assert hits.count() > 0 or terms == ["aσ", "a"]
+        assert hits.where("not coalesce(maybe, false)").count() == 0, terms
+    assert [r[0] for r in docs.where("id < 4").orderBy("id").select(proximity.possible(F.col("raw"), ["th", "er"])).collect()] == [None, True, True, False]
+
+
 def test_places_go_on_from_page_to_page(spark):
     pages = spark.createDataFrame([(1, 1, "alpha é"), (1, 2, None), (1, 3, "beta"), (2, 1, "alpha"), (2, 2, "gamma")], "k int, p int, t string")
     assert [(r["k"], r["span"]) for r in proximity.page_within(pages, "k", "p", "t", ["alpha", "beta"], 10).collect()] == [(1, 10)]
