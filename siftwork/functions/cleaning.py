@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ COMMA = (r",([^\t\n\f\r ])", ", $1")
 CLEAN = (STYLE, SCRIPT, TAG, ENTITY, CONTROL, DIVIDER_LINE, QUOTED_LINE, QUOTE_START, QUOTE_INSIDE, SPACES, LETTER_DIGIT, DIGIT_LETTER, COMMA, TRIM)
 #: Of the clean text once more, for excerpts: control characters go, words and commas stay as they are.
 PREPARE = (STYLE, SCRIPT, TAG, ENTITY, (CONTROL[0], ""), DIVIDER_LINE, QUOTED_LINE, QUOTE_START, QUOTE_INSIDE)
+#: Steps that change no text without this mark, which few texts have.
+_QUOTED = (QUOTED_LINE, QUOTE_START, QUOTE_INSIDE)
 XML_TEXT = (TAG, TRIM)
 RTF_TEXT = ((r"\\[a-z]+[0-9]*", ""), (r"[{}]", ""), SPACES, TRIM)
 NAMED = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
@@ -48,10 +51,21 @@ def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(UNICODE_SPACE))
 
 
-def chain(text: Column, steps: tuple) -> Column:
+def _replaced(text: Column, steps: tuple) -> Column:
     return reduce(lambda c, step: trim(c) if step is TRIM else F.regexp_replace(c, step[0], step[1]), steps, text)
 
 
+def _if_quoted(text: Column, steps: tuple) -> Column:
+    """Steps of _QUOTED, for texts with their mark; a variable, so that the text is computed once."""
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.contains(">"), _replaced(t, steps)).otherwise(t)), F.lit(0))
+
+
+def chain(text: Column, steps: tuple) -> Column:
+    for quoted, group in groupby(steps, lambda step: step in _QUOTED):
+        text = (_if_quoted if quoted else _replaced)(text, tuple(group))
+    return text
+
+
 def sql_chain(text: str, steps: tuple) -> str:
     """chain() for DuckDB."""
     for pattern, to in steps:

@@ -59,9 +59,14 @@ def lower_word(term: str, smart: bool = False) -> str:
     return _bounded(quote(base), base[0], base[-1], forms(smart)) if base else NEVER
 
 
+def begins(terms: list[str]) -> str:
+    """Java pattern that looks ahead for the first character of any of terms, so that most places are left at once."""
+    return "(?=[" + "".join(dict.fromkeys(c if c.isalnum() else f"\\{c}" for c in (t[0] for t in terms))) + "])"
+
+
 def any_lower_word(terms: list[str], smart: bool = False) -> str:
     """Java pattern of any of some terms of ASCII word characters, with its forms, in a lower-cased text."""
-    return "(?:" + "|".join(f"{t}(?<![{WORD}]{t})" for t in terms) + f"){forms(smart)}(?![{WORD}])"
+    return begins(terms) + "(?:" + "|".join(f"{t}(?<![{WORD}]{t})" for t in terms) + f"){forms(smart)}(?![{WORD}])"
 
 
 def any_case_word(term: str, smart: bool = False) -> str:

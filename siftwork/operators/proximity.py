@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from siftwork.functions.patterns import any_case_word, any_lower_word, forms, lower_word, quote, sql_word
+from siftwork.functions.patterns import any_case_word, any_lower_word, begins, forms, lower_word, quote, sql_word
 
 
 def occurrences(docs: DataFrame, key: str, text: str, terms: list[str], smart: bool = False) -> DataFrame:
@@ -129,23 +129,45 @@ def _has_all(text: str, terms: list[str], smart: bool) -> Column:
     return reduce(lambda a, b: a & b, (lower.rlike(lower_word(t, smart)) for t in sorted(terms, key=len, reverse=True)))
 
 
-def possible(raw: Column, terms: list[str], smart: bool = False) -> Column:
+#: Up to this distance a raw text is tested for terms near each other. A place costs that test as many steps at most.
+NEAR = 300
+#: What cleaning makes one space of: control characters, spaces and marks of quotation.
+_RUN = r"[\x00-\x20\x7f-\x9f>][\x00-\x20\x7f-\x9f>]+"
+
+
+def possible(raw: Column, terms: list[str], smart: bool = False, distance: int | None = None) -> Column:
     """Whether the clean text of raw may have all terms: a filter before within(), so that few texts are cleaned.
 
     It drops no row that matches. Cleaning joins what stood apart only where it takes out styles and scripts;
-    else a term's parts stand in the raw text as they are, between the same boundaries but for a digit, from
-    which cleaning may part them.
+    else a term's parts stand in the raw text as they are, between the same boundaries but for those between a
+    letter and a digit, which cleaning may part.
+
+    With a distance of up to NEAR the terms' first words must be near each other too. Without tags and
+    entities cleaning shortens runs of spaces alone, and a character has a byte at least; so, with such runs as
+    one, no more characters lie between two words than bytes in the clean text.
     """
-    tests = []
+    tests, starts = [], []
     for words in (t.strip().lower().split() for t in terms):
         for i, w in enumerate(words):
             if re.fullmatch("[0-9A-Za-z_]+", w):
-                tests.append((w, f"{w}(?<![a-z_]{w}){forms(smart) if i == len(words) - 1 else ''}(?![a-z_])"))
+                before, after = ("[0-9_]" if c.isdigit() else "[a-z_]" for c in (w[0], w[-1]))
+                endings = forms(smart) if i == len(words) - 1 and not w[-1].isdigit() else ""  # a letter may follow a digit anyway
+                tests.append((w, f"{w}(?<!{before}{w}){endings}(?!{after})"))
             elif not set(w) & set("σς"):  # how a capital sigma is lowered depends on what follows
                 tests.append((w, quote(w)))
+            else:
+                continue
+            if i == 0:
+                starts.append(tests[-1])
     ordered = list(dict.fromkeys(p for _, p in sorted(tests, key=lambda x: len(x[0]), reverse=True)))
     every = lambda t: reduce(lambda a, b: a & b, (t.rlike(p) for p in ordered), F.lit(True))
-    return F.get(F.transform(F.array(F.lower(raw)), lambda t: every(t) | t.contains("<style") | t.contains("<script")), F.lit(0))
+    starts = list(dict.fromkeys(starts))
+    if distance is None or distance > NEAR or len(starts) < 2:
+        near = lambda t: F.lit(True)
+    else:
+        pattern = f"(?s){begins([w for w, _ in starts])}(?={'|'.join(p for _, p in starts)})" + "".join(f"(?=.{{0,{max(distance, 0)}}}?{p})" for _, p in starts)
+        near = lambda t: t.contains("<") | t.rlike("&[a-z0-9#]*;") | F.regexp_replace(t, _RUN, " ").rlike(pattern)
+    return F.get(F.transform(F.array(F.lower(raw)), lambda t: (every(t) & near(t)) | t.contains("<style") | t.contains("<script")), F.lit(0))
 
 
 def within(docs: DataFrame, key: str, text: str, terms: list[str], distance: int, smart: bool = False) -> DataFrame:

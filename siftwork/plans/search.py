@@ -14,7 +14,7 @@ from siftwork.functions.cleaning import clean, header, highlight
 from siftwork.operators.excerpts import bounded, excerpt_column
 from siftwork.operators.paths import in_scope, in_skipped_folder, is_binary, of_excluded_types, of_types
 from siftwork.operators.presence import excluded, first_word_candidate, keep_undecided, longest_two, present, read_cap
-from siftwork.operators.proximity import within
+from siftwork.operators.proximity import possible, within
 from siftwork.plans.query import SearchQuery
 from siftwork.sources import doctree
 from siftwork.sources.extract import early_verdict, text_of
@@ -52,6 +52,7 @@ def filtered(files: DataFrame, query: SearchQuery) -> DataFrame:
         early = early & (~(binary & of) | keep_undecided(early_verdict(F.when(binary & of, F.col("ext")), F.col("content"), F.col("size"), terms, cap, query.smart)))
     rows = rows.where(binary | (present(raw, longest_two(terms)) & present(raw, terms))).where(early)
     rows = rows.withColumn("text", text_of(F.col("ext"), F.col("content"))).where("text is not null")
+    rows = rows.where(possible(F.col("text"), terms, query.smart, query.distance))
     rows = rows.withColumn("clean", clean(F.col("text")))
     rows = within(rows, "path", "clean", terms, query.distance, query.smart)
     if query.excluded_words:
@@ -94,6 +95,7 @@ def matching(docs: DataFrame, query: SearchQuery, key: str, text: str) -> DataFr
     rows = docs.where(present(F.col(text), longest_two(terms)) & present(F.col(text), terms))
     if query.excluded_words:
         rows = rows.where(~excluded(F.col(text), query.excluded_words))
+    rows = rows.where(possible(F.col(text), terms, query.smart, query.distance))
     return within(rows.withColumn("clean", clean(F.col(text))), key, "clean", terms, query.distance, query.smart)
 
 

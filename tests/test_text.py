@@ -103,6 +103,22 @@ def test_what_cannot_match_is_dropped_before_it_is_cleaned(spark):
     assert [r[0] for r in docs.where("id < 4").orderBy("id").select(proximity.possible(F.col("raw"), ["th", "er"])).collect()] == [None, True, True, False]
 
 
+def test_what_is_too_far_apart_is_dropped_before_it_is_cleaned(spark):
+    rng = random.Random(17)
+    parts = ["th", "TH", "er", "from", "für", "FÜR", "of", "the", "a", "1", "_", " ", " ", "\n", " \n  ", "\t" * 30, ">", " >> ", "> ", "<", "<b>", "&amp;", "&", ";", "&th;", ",", ",x", "\x00", "\x85", "\u00a0", "-----", "ed", "\u0130", "\u212a", "&\u212a#er;", "<style>x</style>", "Σ", "é", "😀", "PDF32", "+", "x" * 40]
+    texts = [None, "th" + " " * 400 + "er", "th " + "é" * 4 + " er", "th " + "x" * 400 + " er", "th " + "x" * 400 + " er < a", "th " + "é " * 200 + "er", "th " + "x" * 400 + " er th"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(4000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, raw string")
+    for terms, smart, distance in ((["th", "er"], False, 4), (["th", "er"], True, 9), (["th", "er", "from"], False, 30), (["of the", "the"], False, 12), (["für", "th"], False, 8), (["a+", "er"], False, 20), (["aσ", "er"], False, 20), (["th", "th"], False, 0), (["k", "er"], False, 300), (["1", "th"], False, 3)):
+        rows = docs.select("id", C.clean(F.col("raw")).alias("clean"), proximity.possible(F.col("raw"), terms, smart, distance).alias("maybe"))
+        hits = proximity.within(rows, "id", "clean", terms, distance, smart)
+        assert hits.count() > 0 or terms == ["aσ", "er"]
+        assert hits.where("not coalesce(maybe, false)").count() == 0, terms
+    first = lambda *distance: [r[0] for r in docs.where("id < 7").orderBy("id").select(proximity.possible(F.col("raw"), ["th", "er"], False, *distance)).collect()]
+    assert first(300) == [None, True, True, False, True, False, True]
+    assert first(301) == first(-1)[:1] + first()[1:] == [None, True, True, True, True, True, True]
+
+
 def test_places_go_on_from_page_to_page(spark):
     pages = spark.createDataFrame([(1, 1, "alpha é"), (1, 2, None), (1, 3, "beta"), (2, 1, "alpha"), (2, 2, "gamma")], "k int, p int, t string")
     assert [(r["k"], r["span"]) for r in proximity.page_within(pages, "k", "p", "t", ["alpha", "beta"], 10).collect()] == [(1, 10)]
