@@ -166,7 +166,7 @@ def possible(raw: Column, terms: list[str], smart: bool = False, distance: int |
         near = lambda t: F.lit(True)
     else:
         pattern = f"(?s){begins([w for w, _ in starts])}(?={'|'.join(p for _, p in starts)})" + "".join(f"(?=.{{0,{max(distance, 0)}}}?{p})" for _, p in starts)
-        near = lambda t: t.contains("<") | t.rlike("&[a-z0-9#]*;") | F.regexp_replace(t, _RUN, " ").rlike(pattern)
+        near = lambda t: t.rlike(pattern) | t.contains("<") | t.rlike("&[a-z0-9#]*;") | (t.rlike(_RUN) & F.regexp_replace(t, _RUN, " ").rlike(pattern))
     return F.get(F.transform(F.array(F.lower(raw)), lambda t: (every(t) & near(t)) | t.contains("<style") | t.contains("<script")), F.lit(0))
 
 
